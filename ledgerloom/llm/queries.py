@@ -4,17 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import linededup, quality, sharding, urlfilter
 from .common import table
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.op3_line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.op4_url_filters(table(spark, sf_dir, "pages"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op5_sharding(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op10_quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {
-    "op10_quality_rules": op10_quality_rules,
-}
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_url_filters, op5_sharding, op10_quality_rules)}
 ORACLES = {
+    "op3_line_dedup": linededup.ORACLE,
     "op10_quality_rules": quality.ORACLE,
 }
