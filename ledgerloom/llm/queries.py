@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, quality, sharding, urlfilter
+from . import linededup, mixing, quality, sharding, urlfilter
 from .common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op1_mixing(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.op3_line_dedup(table(spark, sf_dir, "documents"))
 
@@ -24,8 +28,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op10_quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_url_filters, op5_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_line_dedup, op4_url_filters, op5_sharding, op10_quality_rules)}
 ORACLES = {
+    "op1_mixing": mixing.op1_oracle(),
     "op3_line_dedup": linededup.ORACLE,
     "op10_quality_rules": quality.ORACLE,
 }
