@@ -5,7 +5,10 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +25,9 @@ def ships(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+ships(__name__)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,3 +60,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def summed(parts: DataFrame, dtype: str, how: str = "add") -> dict[int, bytes]:
+    """parts: i int, b binary, arrays of ``dtype``. The arrays of each i combined by the numpy ufunc ``how``.
+
+    Tasks stream their share of the parts, so any number of parts needs the memory of the result only;
+    the result's size must be fixed by the caller.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for i, b in zip(pdf["i"], pdf["b"]):
+                got = np.frombuffer(b, dtype=dtype)
+                if i in held:
+                    getattr(np, how)(held[i], got, out=held[i])
+                else:
+                    held[i] = got.copy()
+        for i, total in held.items():
+            yield pd.DataFrame({"i": [i], "b": [total.tobytes()]})
+
+    rows = parts.repartition("i").mapInPandas(run, "i int, b binary").collect()
+    return {r["i"]: bytes(r["b"]) for r in rows}
