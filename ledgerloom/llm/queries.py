@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, linededup, mixing, quality, sharding, urlfilter
+from . import decontam, jaccard, linededup, mixing, quality, sharding, tokenids, urlfilter
 from .common import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op1_mixing(table(spark, sf_dir, "documents"))
 
@@ -24,6 +30,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op5_sharding(table(spark, sf_dir, "documents"))
 
 
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenids.op6_token_ids(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op7_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,7 +46,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op10_quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_line_dedup, op4_url_filters, op5_sharding, op7_decontamination, op9_jaccard_join, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_line_dedup, op4_url_filters, op5_sharding, op6_token_ids, op7_decontamination, op9_jaccard_join, op10_quality_rules)}
 ORACLES = {
     "op1_mixing": mixing.op1_oracle(),
     "op3_line_dedup": linededup.ORACLE,
