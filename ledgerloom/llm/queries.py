@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, linededup, mixing, quality, sharding, tokenids, urlfilter
+from . import decontam, jaccard, linededup, lmscore, mixing, quality, sharding, tokenids, urlfilter
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op1_mixing(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.op2_lm_score(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.op3_line_dedup(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op10_quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_line_dedup, op4_url_filters, op5_sharding, op6_token_ids, op7_decontamination, op9_jaccard_join, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_lm_score, op3_line_dedup, op4_url_filters, op5_sharding, op6_token_ids, op7_decontamination, op9_jaccard_join, op10_quality_rules)}
 ORACLES = {
     "op1_mixing": mixing.op1_oracle(),
     "op3_line_dedup": linededup.ORACLE,
