@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, linededup, lmscore, mixing, quality, sharding, tokenids, urlfilter
+from . import decontam, jaccard, linededup, lmscore, mixing, quality, secrets, sharding, tokenids, urlfilter
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op7_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op8_secret_scans(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.op9_jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op10_quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_lm_score, op3_line_dedup, op4_url_filters, op5_sharding, op6_token_ids, op7_decontamination, op9_jaccard_join, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_lm_score, op3_line_dedup, op4_url_filters, op5_sharding, op6_token_ids, op7_decontamination, op8_secret_scans, op9_jaccard_join, op10_quality_rules)}
 ORACLES = {
     "op1_mixing": mixing.op1_oracle(),
     "op3_line_dedup": linededup.ORACLE,
