@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_ledgers  # noqa: F401
+from . import q_ledgers, q_reports  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

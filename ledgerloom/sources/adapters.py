@@ -41,7 +41,7 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: parties, dates, period, currency, base, VAT, totals and flags."""
     lines = invoice_lines(spark, sf_dir)
-    first = F.col("line_no") * F.lit(10**10) + F.col("supplier_id")  # line numbers may repeat
+    first = F.struct("line_no", "supplier_id", "description")  # line numbers may repeat
     sums = lines.groupBy("invoice_id").agg(
         F.sum("net").cast("decimal(18,2)").alias("tax_base"), F.sum("vat").cast("decimal(18,2)").alias("vat"), F.count("*").alias("n_lines"),
         F.min_by("supplier_id", first).alias("supplier_id"), F.min_by("description", first).alias("first_item"),
@@ -107,7 +107,7 @@ lines AS (SELECT *, round(net * vat_rate::DECIMAL(4,2) * 0.01::DECIMAL(3,2), 2):
          CASE WHEN l_tax::DECIMAL(4,2) = 0 THEN 0 WHEN l_tax::DECIMAL(4,2) >= 0.06 THEN 9 ELSE 20 END AS vat_rate
   FROM lineitem JOIN part ON l_partkey = p_partkey))"""
 DUCK_INVOICES = DUCK_LINES + f""",
-sums AS (SELECT invoice_id, sum(net)::DECIMAL(18,2) AS tax_base, sum(vat)::DECIMAL(18,2) AS vat, count(*) AS n_lines, arg_min(supplier_id, line_no * 10000000000 + supplier_id) AS supplier_id, arg_min(description, line_no * 10000000000 + supplier_id) AS first_item,
+sums AS (SELECT invoice_id, sum(net)::DECIMAL(18,2) AS tax_base, sum(vat)::DECIMAL(18,2) AS vat, count(*) AS n_lines, arg_min(supplier_id, (line_no, supplier_id, description)) AS supplier_id, arg_min(description, (line_no, supplier_id, description)) AS first_item,
   sum(CASE WHEN vat_rate = 9 THEN net ELSE 0 END)::DECIMAL(18,2) AS base_9, sum(CASE WHEN vat_rate = 0 THEN net ELSE 0 END)::DECIMAL(18,2) AS base_0, max(vat_rate) AS max_rate FROM lines GROUP BY invoice_id),
 invoices AS (SELECT o_orderkey AS invoice_id, supplier_id, o_custkey AS recipient_id, (o_orderdate::DATE + INTERVAL 27 YEAR)::DATE AS date_issued,
   ((o_orderdate::DATE + INTERVAL 27 YEAR)::DATE - to_months((o_orderkey % 15)::INT))::DATE AS date_tax_event, strftime((o_orderdate::DATE + INTERVAL 27 YEAR)::DATE, '%Y%m') AS period,
