@@ -89,7 +89,8 @@ def ledger(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -
     bits = F.lit(0).cast("long")
     for r in rules:
         bits = bits.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
-    return measure(docs, text).withColumn("fail_bits", bits)
+    # A generator: filters on the bits are not copied into the projections below, once for each use of a measurement.
+    return measure(docs, text).select("*", F.explode(F.array(bits)).alias("fail_bits"))
 
 
 def passes(policy: str) -> Column:
