@@ -1,9 +1,9 @@
 """Benchmark decontamination with a positional inverted index.
 
-The index holds postings (term, doc_id, pos) of the benchmark's rarest terms, each with the words
-around it. A test window is looked up by its rarest term; that list is intersected with the list of
-its second rarest term after shifting both to the place where the item would start, and what is left
-is compared word by word. The same postings serve proximity search.
+The index holds postings (term, doc_id, pos) of the benchmark's rarest terms. A test window is looked
+up by its rarest term; that list is intersected with the list of its second rarest term after shifting
+both to the place where the item would start, and what is left is compared word by word with the
+document. The same postings serve proximity search.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from .common import ascii_lower, stored
 WINDOW = 10
 #: Benchmark-side tables of at most this many rows are broadcast; larger ones are joined by shuffle.
 MAX_BROADCAST_ROWS = 500_000
+#: The same for places where an item may stand in a document.
+MAX_BROADCAST_MEETS = 100_000
 #: What separates words before A-Z are lower-cased.
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -62,34 +64,41 @@ def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFr
     )
 
 
-def postings(docs: DataFrame, terms: DataFrame, around: int = WINDOW - 1) -> DataFrame:
-    """The stored index: term, doc_id, pos (from 0), first (place of ctx's first word), ctx (lower-case words around)."""
-    tokens = docs.where("doc_id IS NOT NULL").select("doc_id", raw_words(F.col("text")).alias("ws")).select("doc_id", "ws", F.posexplode("ws").alias("pos", "w"))
-    hits = tokens.select("doc_id", "ws", "pos", ascii_lower(F.col("w")).alias("term")).join(_small(terms), "term")
-    first = F.greatest(F.col("pos") - around, F.lit(0))
-    ctx = F.transform(F.slice("ws", first + 1, F.col("pos") - first + 1 + around), ascii_lower)
-    return stored(hits.select("term", "doc_id", "pos", first.alias("first"), ctx.alias("ctx")), "postings")
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The stored index: term, doc_id, pos (from 0)."""
+    tokens = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(raw_words(F.col("text"))).alias("pos", "w"))
+    return stored(tokens.select(ascii_lower(F.col("w")).alias("term"), "doc_id", "pos").join(_small(terms), "term").select("term", "doc_id", "pos"), "postings")
 
 
-def phrase_hits(index: DataFrame, wins: DataFrame) -> DataFrame:
+def aligned(index: DataFrame, wins: DataFrame) -> DataFrame:
+    """doc_id, item_id, shift: where the item would start for its rarest terms' lists to meet."""
+
+    def shifted(term: str, place: str) -> DataFrame:
+        of = wins.select(F.col(term).alias("term"), "item_id", F.col(place).alias("place")).distinct()
+        return index.join(_small(of), "term").select("doc_id", "item_id", (F.col("pos") - F.col("place")).alias("shift"))
+
+    return shifted("term_a", "a").distinct().join(shifted("term_b", "b"), ["doc_id", "item_id", "shift"], "left_semi")
+
+
+def phrase_hits(docs: DataFrame, index: DataFrame, wins: DataFrame) -> DataFrame:
     """doc_id, item_id, start, at, len: window ``start`` of the item stands in the document from word ``at``."""
-    a_of = wins.select(F.col("term_a").alias("term"), "item_id", F.col("a").alias("place")).distinct()
-    b_of = wins.select(F.col("term_b").alias("term"), "item_id", F.col("b").alias("place")).distinct()
-    shifted = lambda of: index.select("term", "doc_id", "pos").join(_small(of), "term").select("doc_id", "item_id", (F.col("pos") - F.col("place")).alias("shift"))
-    aligned = shifted(a_of).join(shifted(b_of).distinct(), ["doc_id", "item_id", "shift"], "left_semi").distinct()
-    looked = index.join(_small(wins), index["term"] == wins["term_a"]).withColumn("shift", F.col("pos") - F.col("a"))
-    looked = looked.withColumn("at", F.col("shift") + F.col("start")).where("at >= first")
-    exact = looked.where(F.slice("ctx", F.col("at") - F.col("first") + 1, F.col("len")) == F.col("win"))
-    return exact.join(aligned, ["doc_id", "item_id", "shift"], "left_semi").select("doc_id", "item_id", "start", "at", "len").distinct()
+    meet = stored(aligned(index, wins).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift")).alias("meets")), "aligned")  # no more than the document's words
+    few = (meet.agg(F.sum(F.size("meets"))).first()[0] or 0) <= MAX_BROADCAST_MEETS
+    held = docs.select("doc_id", "text").join(F.broadcast(meet) if few else meet, "doc_id").select("doc_id", "meets", raw_words(F.col("text")).alias("ws"))
+    held = held.select("doc_id", "ws", F.inline("meets"))
+    tried = held.join(_small(wins.select("item_id", "start", "win", "len")), "item_id").withColumn("at", F.col("shift") + F.col("start"))
+    said = F.transform(F.slice("ws", F.greatest("at", F.lit(0)) + 1, F.col("len")), ascii_lower)
+    exact = tried.where((F.col("at") >= 0) & (said == F.col("win")))
+    return exact.select("doc_id", "item_id", "start", "at", "len").distinct()
 
 
 def proximity_hits(index: DataFrame, wins: DataFrame, slop: int = 5) -> DataFrame:
-    """doc_id, item_id, n_near: places where the two rarest terms of a window stand in order, at most ``slop`` words off their distance."""
-    pairs = wins.where("a <> b").select("item_id", "term_a", "term_b", (F.col("b") - F.col("a")).alias("gap")).distinct()
-    # a posting carries the words around it, so a near pair is seen from its first term's list
-    near = index.join(_small(pairs), index["term"] == pairs["term_a"]).select("doc_id", "item_id", "term_b", "gap", "pos", "first", F.posexplode("ctx").alias("i", "w"))
-    near = near.where((F.col("w") == F.col("term_b")) & (F.abs(F.col("first") + F.col("i") - F.col("pos") - F.col("gap")) <= slop))
-    return near.groupBy("doc_id", "item_id").agg(F.countDistinct("pos", "gap").alias("n_near"))
+    """doc_id, item_id, n_near: places where a window's two rarest terms stand at most ``slop`` words off their distance in the item."""
+    pairs = wins.where("a <> b").select("item_id", F.col("term_a").alias("term"), "term_b", (F.col("b") - F.col("a")).alias("gap")).distinct()
+    a = index.join(_small(pairs), "term").select("doc_id", "item_id", "term_b", "gap", (F.col("pos") + F.col("gap")).alias("due"))
+    b = index.select("doc_id", F.col("term").alias("term_b"), "pos")
+    near = a.join(b, ["doc_id", "term_b"]).where(F.abs(F.col("pos") - F.col("due")) <= slop)
+    return near.groupBy("doc_id", "item_id").agg(F.countDistinct("term_b", "gap", "due").alias("n_near"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -97,7 +106,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     items = stored(item_words(benchmark), "items")
     wins = stored(anchors(items, term_counts(docs, items), window), "windows")
     terms = stored(wins.select(F.col("term_a").alias("term")).union(wins.select("term_b")).distinct(), "anchor-terms")
-    return stored(phrase_hits(postings(docs, terms, window - 1), wins), "hits")
+    return stored(phrase_hits(docs, postings(docs, terms), wins), "hits")
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -19,14 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ships, stored, summed, text_or_empty
+from .common import BROADCAST_BYTES, ships, stored, summed, text_or_empty
 
 ships(__name__)
 
 #: Words in a shingle, and similarity in per cent.
 SHINGLE, PERCENT = 5, 80
 #: Counters that estimate how common a column is; only the order of columns depends on them.
-COUNTERS = 1 << 21
+COUNTERS = 1 << 20
 #: Bits of the filters that keep rows without partners out of the shuffles.
 FILTER_BITS = 1 << 25
 _CHUNK = 1 << 16
@@ -34,28 +34,22 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 _CACHE = 1 << 19
 
 
+class _Hashes(dict):
+    """8 bytes for each word, kept for the next time."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > _CACHE:
+            self.clear()
+        got = self[word] = xxhash.xxh3_64_digest(word)
+        return got
+
+
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's shingles."""
 
     def __init__(self, k: int = SHINGLE):
-        self.k, self.known = k, {}
-        powers = [1]
-        for _ in range(k - 1):
-            powers.append(powers[-1] * int(_MULT) % (1 << 64))
-        self.powers = np.array(powers, dtype=np.uint64)
-
-    def word_hashes(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        try:
-            got = [known[w] for w in words]
-        except KeyError:
-            if len(known) > _CACHE:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            got = [known[w] for w in words]
-        return np.array(got, dtype=np.uint64)
+        self.k, self.known = k, _Hashes()
+        self.powers = [np.uint64(pow(int(_MULT), i, 1 << 64)) for i in range(k)]
 
     def __call__(self, text: str) -> np.ndarray:
         words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -63,20 +57,19 @@ class Shingler:
             return np.empty(0, dtype=np.uint64)
         if len(words) < self.k:
             return np.array([xxhash.xxh3_64_intdigest(b"\x00" + b" ".join(words))], dtype=np.uint64)
-        h = self.word_hashes(words)
+        h = np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype=">u8").astype(np.uint64)
         n = len(h) - self.k + 1
-        mixed = np.zeros(n, dtype=np.uint64)
-        for i in range(self.k):
+        mixed = h[:n].copy()
+        for i in range(1, self.k):
             mixed += h[i : i + n] * self.powers[i]
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(32)
-        return np.unique(mixed)
-
-
-def required(a: int, b: int, percent: int = PERCENT) -> int:
-    """The least overlap of sets of sizes a and b that links them."""
-    return -(-percent * (a + b) // (100 + percent))
+        mixed.sort()
+        fresh = np.empty(n, dtype=bool)
+        fresh[0] = True
+        np.not_equal(mixed[1:], mixed[:-1], out=fresh[1:])
+        return mixed[fresh]
 
 
 def prefix_size(n: int, percent: int = PERCENT) -> int:
@@ -91,34 +84,25 @@ def _pandas(docs: DataFrame, run, schema: str) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select("doc_id", text_or_empty().alias("text")).mapInPandas(run, schema)
 
 
-def rows_of(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n (set size), row (hash of the set; 0 sizes have none)."""
+def rows_and_counts(docs: DataFrame, k: int = SHINGLE, counters: int = COUNTERS) -> tuple[DataFrame, np.ndarray]:
+    """From one pass: doc_id, n (set size) and row (hash of the set, null if empty) of each document; and
+    how common each column is, as a class from 0 (rare) to 255 by the logarithm of its counter."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        make = Shingler(k)
+        make, total = Shingler(k), np.zeros(counters, dtype=np.uint32)
         for pdf in batches:
             sets = [make(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(s) for s in sets], "row": pd.array([_signature(s) if len(s) else None for s in sets], "Int64")})
-
-    return stored(_pandas(docs, run, "doc_id long, n long, row long"), "jaccard-rows")
-
-
-def column_counts(docs: DataFrame, k: int = SHINGLE, counters: int = COUNTERS) -> np.ndarray:
-    """How many documents hold each column, by hash, in a table of fixed size; all documents count."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        make, total = Shingler(k), np.zeros(counters, dtype=np.int64)
-        for pdf in batches:
-            got = [make(t) for t in pdf["text"]]
-            if got:
-                total += np.bincount((np.concatenate(got) & np.uint64(counters - 1)).astype(np.int64), minlength=counters)
+            if sets:
+                total += np.bincount((np.concatenate(sets) & np.uint64(counters - 1)).astype(np.int64), minlength=counters).astype(np.uint32)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(s) for s in sets], "row": pd.array([_signature(s) if len(s) else None for s in sets], "Int64"), "i": pd.array([None] * len(pdf), "Int32"), "b": None})
         for i in range(0, counters, _CHUNK):
-            yield pd.DataFrame({"i": [i], "b": [total[i : i + _CHUNK].tobytes()]})
+            yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n": pd.array([None], "Int64"), "row": pd.array([None], "Int64"), "i": [i // _CHUNK], "b": [total[i : i + _CHUNK].astype(np.uint64).tobytes()]})
 
-    out = np.zeros(counters, dtype=np.int64)
-    for i, b in summed(_pandas(docs, run, "i int, b binary"), "int64").items():
-        out[i : i + _CHUNK] = np.frombuffer(b, dtype=np.int64)
-    return np.minimum(out, (1 << 32) - 1).astype(np.uint32)
+    both = stored(_pandas(docs, run, "doc_id long, n long, row long, i int, b binary"), "jaccard-rows")
+    out = np.zeros(counters, dtype=np.uint64)
+    for i, b in summed(both.where("i IS NOT NULL").select("i", "b"), "uint64").items():
+        out[i * _CHUNK : (i + 1) * _CHUNK] = np.frombuffer(b, dtype=np.uint64)
+    return both.where("i IS NULL").select("doc_id", "n", "row"), np.minimum(6 * np.log2(out.astype(np.float64) + 1), 255).astype(np.uint8)
 
 
 def _bit(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -163,18 +147,19 @@ def prefixes(docs: DataFrame, counts, k: int = SHINGLE, percent: int = PERCENT,
                 if not len(s):
                     continue
                 p = prefix_size(len(s), percent)
-                c = table[(s & last).astype(np.int64)]
-                first = np.lexsort((s, c))[:p]
+                order = (table[(s & last).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+                first = np.argpartition(order, p - 1)[:p] if p < len(s) else np.arange(len(s))
+                first = first[np.argsort(order[first])]
                 got, pos = s[first].view(np.int64), np.arange(p)
                 if keep is not None:
                     hit = may_hold(keep, got)
                     got, pos = got[hit], pos[hit]
                 cols.append(got)
                 poss.append(pos)
-                rows.append(np.full(len(got), _signature(s), dtype=np.int64))
-                ns.append(np.full(len(got), len(s), dtype=np.int64))
+                rows.append((_signature(s), len(s), len(got)))
             if cols:
-                yield pd.DataFrame({"col": np.concatenate(cols), "row": np.concatenate(rows), "n": np.concatenate(ns), "pos": np.concatenate(poss)})
+                sig, size, times = (np.array(x, dtype=np.int64) for x in zip(*rows))
+                yield pd.DataFrame({"col": np.concatenate(cols), "row": np.repeat(sig, times), "n": np.repeat(size, times), "pos": np.concatenate(poss)})
 
     return _pandas(docs, run, "col long, row long, n long, pos long")
 
@@ -186,78 +171,90 @@ def sets_of(docs: DataFrame, wanted, k: int = SHINGLE) -> DataFrame:
         make, keep = Shingler(k), wanted.value
         for pdf in batches:
             pdf = pdf[may_hold(keep, pdf["doc_id"].to_numpy())]
+            if not len(pdf):
+                continue
             sets = [make(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "row": [_signature(s) if len(s) else 0 for s in sets], "cols": [s.view(np.int64) for s in sets]})
 
     return _pandas(docs, run, "doc_id long, row long, cols array<long>")
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """pairs: a, b. The pairs that link, by their sets' whole overlap."""
-    left, right = sets.select(F.col("row").alias("a"), F.col("cols").alias("ca")), sets.select(F.col("row").alias("b"), F.col("cols").alias("cb"))
-    both = pairs.join(right, "b").join(left, "a")
-    i = F.size(F.array_intersect("ca", "cb"))
-    union = F.size("ca") + F.size("cb") - F.col("i")
-    return both.select("a", "b", "ca", "cb", i.alias("i")).where(100 * F.col("i") >= percent * union).select("a", "b")
+def overlaps(members: DataFrame, hubs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """members: hub, row, cols; hubs: row, cols. a, b: the pairs that link, by their sets' whole overlap."""
+    if (hubs.agg(F.sum(F.size("cols"))).first()[0] or 0) * 8 <= BROADCAST_BYTES:
+        hubs = F.broadcast(hubs)
+    both = members.join(hubs.select(F.col("row").alias("hub"), F.col("cols").alias("hub_cols")), "hub")  # adaptive execution splits hot hubs
+    both = both.withColumn("i", F.size(F.array_intersect("cols", "hub_cols")))
+    return both.where(100 * F.col("i") >= percent * (F.size("cols") + F.size("hub_cols") - F.col("i"))).select(F.col("hub").alias("a"), F.col("row").alias("b")).distinct()
 
 
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
-    """nodes: row, label (a key to start from). links: a, b. Returns row, label: the smallest label reachable.
+def components(links: DataFrame, rounds: int = 200) -> DataFrame:
+    """links: a, b. Returns row, label for every row that has a link: the smallest row reachable.
 
-    Each round every row takes the smallest label among its neighbours', then the label of its label
-    (pointer jumping), until nothing changes.
+    Each round every row takes the smallest label among its neighbours', then the label of the row it
+    names (pointer jumping), until nothing changes.
     """
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    now = stored(nodes.select("row", "label", F.col("row").alias("root")), "labels")
-    # root: the row that the label came from
+    now = stored(both.groupBy(F.col("a").alias("row")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
     for _ in range(rounds):
-        seen = both.join(now.select(F.col("row").alias("b"), F.col("label").alias("l"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("row")).agg(F.min(F.struct("l", "r")).alias("m"))
-        step = now.join(seen, "row", "left").select("row", F.when(F.col("m.l") < F.col("label"), F.col("m")).otherwise(F.struct(F.col("label").alias("l"), F.col("root").alias("r"))).alias("m"), F.col("label").alias("was"))
-        step = stored(step.select("row", F.col("m.l").alias("label"), F.col("m.r").alias("root"), "was"), "labels")
-        jump = step.select(F.col("row").alias("root"), F.col("label").alias("jl"), F.col("root").alias("jr"))
-        moved = step.join(jump, "root", "left").select("row", F.least("label", "jl").alias("label"), F.when(F.col("jl") < F.col("label"), F.col("jr")).otherwise(F.col("root")).alias("root"), "was")
-        now = stored(moved, "labels")
+        name = now.select(F.col("row").alias("b"), F.col("label").alias("l"))
+        near = both.join(name, "b").groupBy(F.col("a").alias("row")).agg(F.min("l").alias("l"))
+        step = now.join(near, "row", "left").select("row", F.least("label", "l").alias("new"), F.col("label").alias("was"))
+        jump = now.select(F.col("row").alias("new"), F.col("label").alias("jump"))
+        now = stored(step.join(jump, "new", "left").select("row", F.least("new", "jump").alias("label"), "was"), "labels")
         if now.where("label <> was").limit(1).count() == 0:
-            break
-        now = now.drop("was")
-    return now.select("row", "label")
+            return now.select("row", "label")
+        now = now.select("row", "label")
+    raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
 def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each distinct doc_id."""
-    sc = docs.sparkSession.sparkContext
-    rows = rows_of(docs, k)
-    reps = stored(rows.where("n > 0").groupBy("row").agg(F.min("doc_id").alias("label"), F.max("n").alias("n")), "reps")
-    counts = sc.broadcast(column_counts(docs, k))
-    entries = prefixes(docs, counts, k, percent)
-    hubs = entries.groupBy("col").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.min(F.struct("pos", "row", "n")).alias("hub")).where("lo <> hi")
-    hubs = stored(hubs.select("col", F.col("hub.row").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos")), "hubs")
-    shared = sc.broadcast(bit_filter(hubs.select(F.col("col").alias("key"))))
+    ship = docs.sparkSession.sparkContext.broadcast
+    rows, counts = rows_and_counts(docs, k)
+    counts = ship(counts)
+    # Columns that two different rows hold in their prefixes; all others are left out from here on.
+    twice = prefixes(docs, counts, k, percent).groupBy("col").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo <> hi")
+    shared = ship(bit_filter(twice.select(F.col("col").alias("key"))))
     # Copies of a set give equal entries: one of each is left.
-    entries = stored(prefixes(docs, counts, k, percent, shared).groupBy("col", "row").agg(F.first("n").alias("n"), F.first("pos").alias("pos")).join(hubs, "col"), "entries")
-    fits = f"n - pos >= need AND hub_n - hub_pos >= need AND 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
-    first = entries.where("row <> hub").withColumn("need", F.expr(f"cast(ceil({percent} * (n + hub_n) / {100 + percent}) as long)")).where(fits)
+    entries = stored(prefixes(docs, counts, k, percent, shared).groupBy("col", "row").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "entries")
+    # The hub of a column is the row that has the fewest rarer columns.
+    hubs = entries.groupBy("col").agg(F.min(F.struct("pos", "row", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
+    entries = entries.join(hubs.select("col", F.col("hub.row").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos")), "col")
+    entries = stored(entries, "entries")
+    need = f"ceil({percent} * (n + hub_n) / {100 + percent})"
+    first = entries.where(f"row <> hub AND n - pos >= {need} AND hub_n - hub_pos >= {need} AND 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
     first = stored(first.select(F.col("hub").alias("a"), F.col("row").alias("b")).distinct(), "pairs")
-    live = reps.join(entries.select("row").distinct(), "row", "left_semi").select("row", "label")
-    wanted = sc.broadcast(bit_filter(live.select(F.col("label").alias("key"))))
-    sets = stored(sets_of(docs, wanted, k).join(live, ["row"]).where("doc_id = label").dropDuplicates(["row"]).select("row", "cols"), "sets")
-    links = stored(overlaps(first, sets, percent), "links")
-    comp = components(live, links)
+    links = _verified(docs, rows, first, k, percent)
+    named = _named(entries, components(links))
     # What is left: rows that share a column but no component, of which at least one is outside the hub's.
-    c = comp.select("row", F.col("label").alias("comp"))
-    named = entries.join(c, "row").join(c.select(F.col("row").alias("hub"), F.col("comp").alias("hub_comp")), "hub")
-    named = stored(named.select("col", "row", "n", "pos", "hub", "comp", "hub_comp"), "named")
-    open_cols = named.where("comp <> hub_comp").select("col", "row", "n", "pos", "comp", "hub")
-    x, y = open_cols.alias("x"), named.where("row <> hub").alias("y")
+    x, y = named.where("comp <> hub_comp AND row <> hub").alias("x"), named.where("row <> hub").alias("y")
     need = f"ceil({percent} * (x.n + y.n) / {100 + percent})"
-    rest = x.join(y, F.expr(f"x.col = y.col AND x.comp <> y.comp AND x.row <> x.hub AND x.n - x.pos >= {need} AND y.n - y.pos >= {need} AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
+    rest = x.join(y, F.expr(f"x.col = y.col AND x.comp <> y.comp AND x.n - x.pos >= {need} AND y.n - y.pos >= {need} AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
     rest = stored(rest.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct(), "pairs")
-    more = stored(overlaps(rest, sets, percent), "links")
-    if more.limit(1).count():
-        comp = components(live, links.union(more))
-    named = rows.join(comp, "row", "left").select("doc_id", "n", "row", F.col("label").alias("comp"))
-    out = named.join(reps.select("row", F.col("label").alias("rep")), "row", "left")
-    return out.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("comp", "rep", "doc_id")).alias("component_id"))
+    if rest.limit(1).count():
+        links = stored(links.union(_verified(docs, rows, rest, k, percent)), "links")
+    comp = rows.join(components(links), "row", "left").select("doc_id", "n", F.coalesce("label", "row").alias("comp"))
+    least = comp.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    out = comp.join(least, "comp", "left")
+    return out.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("least", "doc_id")).alias("component_id"))
+
+
+def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs that link. Only sets of rows in a pair are made again, and shuffled once, a copy for each pair."""
+    wanted = pairs.select(F.col("b").alias("row"), F.col("a").alias("hub")).union(pairs.select("a", F.lit(None).cast("long")).distinct())
+    one = rows.join(wanted.select("row").distinct(), "row").groupBy("row").agg(F.min("doc_id").alias("doc_id"))
+    wanted = stored(wanted.join(one, "row"), "wanted")
+    keys = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(F.col("doc_id").alias("key"))))
+    sets = stored(sets_of(docs, keys, k).join(wanted, ["doc_id", "row"]).select("row", "hub", "cols"), "sets")
+    return stored(overlaps(sets.where("hub IS NOT NULL"), sets.where("hub IS NULL").dropDuplicates(["row"]).select("row", "cols"), percent), "links")
+
+
+def _named(entries: DataFrame, comp: DataFrame) -> DataFrame:
+    """Entries with comp and hub_comp; a row without links is its own component."""
+    of = lambda c, name: comp.select(F.col("row").alias(c), F.col("label").alias(name))
+    out = entries.join(of("row", "comp"), "row", "left").join(of("hub", "hub_comp"), "hub", "left")
+    return stored(out.select("col", "row", "n", "pos", "hub", F.coalesce("comp", "row").alias("comp"), F.coalesce("hub_comp", "hub").alias("hub_comp")), "named")
 
 
 def op9_jaccard_join(docs: DataFrame) -> DataFrame:
@@ -265,7 +262,7 @@ def op9_jaccard_join(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no shingles and stand alone. Texts of under five words are one shingle.
     Rows that share a doc_id are one document if their texts are equal; if not, the larger set's size
-    is given. Rows with a null doc_id are left out of the join and returned with nulls. An empty table gives no rows.
+    is given, and the smaller component. Rows with a null doc_id are left out of the join and returned
+    with nulls. An empty table gives no rows.
     """
-    found = linked(docs)
-    return docs.select("doc_id").join(found, "doc_id", "left")
+    return docs.select("doc_id").join(linked(docs), "doc_id", "left")
