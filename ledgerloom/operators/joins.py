@@ -87,7 +87,7 @@ def match_reviewed(orig: DataFrame, reviewed: DataFrame) -> DataFrame:
         p = o.join(r.withColumnRenamed(b, a), [a, "cents"]).select("seq", F.lit(tier).alias("tier"), "r_seq", "reviewed_account")
         pairs = p if pairs is None else pairs.unionByName(p)
     best = pairs.groupBy("seq").agg(F.min(F.struct("tier", "r_seq", "reviewed_account")).alias("b"))
-    return orig.join(best, "seq", "left").select(*orig.columns, F.element_at(F.array(F.lit("eik"), F.lit("number"), F.lit("day")), F.col("b.tier") + 1).alias("tier"), F.col("b.r_seq").alias("reviewed_seq"), F.col("b.reviewed_account").alias("reviewed_account"))
+    return orig.join(best, "seq", "left").select(*orig.columns, F.when(F.col("b").isNotNull(), F.element_at(F.array(F.lit("eik"), F.lit("number"), F.lit("day")), F.col("b.tier") + 1)).alias("tier"), F.col("b.r_seq").alias("reviewed_seq"), F.col("b.reviewed_account").alias("reviewed_account"))
 
 
 # D16, G02

@@ -229,3 +229,24 @@ def split_by_account(spark, d):
     inv = A.invoices(spark, d).select("invoice_id", (F.col("tax_base") + F.when(F.col("invoice_id") % 9 == 0, F.expr("0.01BD")).otherwise(0)).cast("decimal(18,2)").alias("tax_base"))
     account = F.when(F.contains("description", F.lit("widget")), "601").when(F.contains("description", F.lit("bolt")), "602").otherwise("304")
     return L.split_by_account(A.invoice_lines(spark, d).join(inv, "invoice_id"), account)
+
+
+@query("K01_purchase_lines", BOOKS + " SELECT rpad(period, 6, ' ') || rpad(doc_type, 2, ' ') || rpad(number, 10, ' ') || rpad(partner_eik, 15, ' ') || lpad(base_20::VARCHAR, 15, ' ') || lpad(vat_20::VARCHAR, 15, ' ') || lpad(no_credit::VARCHAR, 15, ' ') AS line FROM purchases")
+def purchase_lines(spark, d):
+    from ..operators.sinks import ledger_lines
+
+    return ledger_lines(_books(spark, d)[0], {"period": 6, "doc_type": 2, "number": 10, "partner_eik": 15}, ["base_20", "vat_20", "no_credit"])
+
+
+@query("K03_vat_return_lines", BOOKS + "," + RETURN + ", c AS (UNPIVOT (SELECT period, c01, c11, c13, c19, c20, c21, c24, c30, c31, c40, c41, c43, c50, c60, c80 FROM decl) ON COLUMNS(* EXCLUDE period) INTO NAME n VALUE v) SELECT period, (row_number() OVER (PARTITION BY period ORDER BY n) - 1)::INT AS seq, '[' || substr(n, 2) || ']=' || v AS line FROM c")
+def vat_return_lines(spark, d):
+    from ..operators.sinks import vat_return_lines as lines
+
+    return lines(L.vat_return(*_books(spark, d)))
+
+
+@query("K07_operation_pairs", _OPS + _DROP + ", g AS (SELECT invoice_id, line, max(account) FILTER (direction = 'D') AS debit_account, max(account) FILTER (direction = 'K') AS credit_account, max(amount) FILTER (direction = 'D') AS amount FROM ops2 GROUP BY ALL) SELECT * FROM g WHERE debit_account IS NOT NULL AND credit_account IS NOT NULL")
+def operation_pairs(spark, d):
+    from ..operators.sinks import operation_pairs as pairs
+
+    return pairs(_broken(_ops(spark, d), F.col("direction") == "K"))
