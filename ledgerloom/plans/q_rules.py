@@ -343,3 +343,71 @@ def clean_text(spark, d):
 def bbox(spark, d):
     b = S.normalize_bbox(F.col("left"), F.col("top"), F.col("width"), F.col("height"))
     return A.tokens(spark, d).select("doc_id", "i", b["x"].alias("x"), b["y"].alias("y"))
+
+
+@query("B12_iban", """WITH t AS (SELECT partner_id, 'BG' || lpad((partner_id % 97)::VARCHAR, 2, '0') || 'BPBI8170' || lpad(partner_id::VARCHAR, 10, '0') AS iban FROM (SELECT s_suppkey AS partner_id FROM supplier UNION ALL SELECT c_custkey + 5000000 FROM customer))
+SELECT partner_id, iban, (('11251118' || '8170' || lpad(partner_id::VARCHAR, 10, '0') || '1116' || substr(iban, 3, 2))::HUGEINT % 97) = 1 AS valid FROM t""")
+def iban(spark, d):
+    k = F.col("partner_id")
+    text = F.concat(F.lit("bg"), F.lpad((k % 97).cast("string"), 2, "0"), F.lit(" BPBI 8170 "), F.lpad(k.cast("string"), 10, "0"))
+    return A.partners(spark, d).select("partner_id", S.normalize_iban(text).alias("iban"), S.iban_mod97(F.upper(text)).alias("valid"))
+
+
+@query("B15_default_currency", INV + " SELECT invoice_id, CASE WHEN currency IS NOT NULL THEN currency WHEN date_issued >= DATE '2026-01-01' THEN 'EUR' ELSE 'BGN' END AS currency, CASE WHEN is_credit_note THEN '03' WHEN is_sale THEN '09' ELSE '01' END AS doc_type FROM invoices")
+def default_currency(spark, d):
+    kind = F.when(F.col("is_sale"), "Protocol").otherwise("other")
+    return inv(spark, d).select("invoice_id", S.default_currency(F.lower("currency"), F.col("date_issued")).alias("currency"), S.nap_doc_type(kind, F.col("is_credit_note"), F.lit(False)).alias("doc_type"))
+
+
+@query("B28_to_money", "SELECT event_id, coalesce(round(value::DECIMAL(28,8), 2), 0)::DECIMAL(18,2) AS amount, CASE WHEN event_type = 'view' THEN 'BANK' WHEN event_type = 'click' THEN 'CASH' WHEN user_id % 2 = 0 THEN 'BANK' ELSE 'CASH' END AS method FROM events")
+def to_money(spark, d):
+    text = F.replace(F.col("value").cast("decimal(28,8)").cast("string"), F.lit("."), F.lit(" ,"))
+    method = F.when(F.col("event_type") == "view", "Bank transfer").when(F.col("event_type") == "click", "в брой")
+    return A.table(spark, d, "events").select("event_id", S.to_money(text).alias("amount"), S.payment_method(method, F.when(F.col("user_id") % 2 == 0, "BG1").otherwise("")).alias("method"))
+
+
+@query("B17_company_names", "SELECT s_suppkey, trim(regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9_ ]', ' ', 'g'), ' +', ' ', 'g')) AS name FROM supplier")
+def company_names(spark, d):
+    return A.table(spark, d, "supplier").select("s_suppkey", S.normalize_company(F.concat("s_name", F.lit(" ЕООД"))).alias("name"))
+
+
+@query("B09_eik_repair", f"WITH {PART}, x AS (SELECT partner_id, substr(eik, 1, 4) || translate(substr(eik, 5, 1), '8', '0') || substr(eik, 6) AS t FROM partners), " + "c AS (SELECT partner_id, t, substr(t, 1, i::INT - 1) || b || substr(t, i::INT + 1) AS u FROM x, range(1, 10) r(i), (VALUES ('8', '0'), ('0', '8'), ('1', '7'), ('7', '1'), ('3', '8'), ('6', '5'), ('5', '6'), ('4', '6')) p(a, b) WHERE substr(t, i::INT, 1) = a), " + f"g AS (SELECT partner_id, count(*) AS n, min(u) AS u FROM c WHERE {_V9('u')} GROUP BY 1) SELECT x.partner_id, t, CASE WHEN {_V9('t')} THEN t WHEN n = 1 THEN u END AS repaired FROM x LEFT JOIN g USING (partner_id)")
+def eik_repair(spark, d):
+    t = F.concat(F.substring("eik", 1, 4), F.translate(F.substring("eik", 5, 1), "8", "0"), F.substring("eik", 6, 9))
+    return A.partners(spark, d).select("partner_id", t.alias("t")).withColumn("repaired", S.eik_repair(F.col("t")))
+
+
+
+
+@query("H08_check_ocr_confidence", TOK + ", g AS (SELECT doc_id, nullif(count(*) FILTER (conf > 0), 0) AS n, sum(conf) FILTER (conf > 0)::BIGINT AS s, count(*) FILTER (conf BETWEEN 1 AND 59) AS low FROM tokens GROUP BY 1), r AS (SELECT doc_id, coalesce((s * 200 + n * 100) // (n * 200) * 0.01::DECIMAL(3,2), 0) AS confidence, coalesce((low * 200 + n) // (n * 2) * 0.01::DECIMAL(3,2), 0) AS low_ratio FROM g) " + _issue_sql("r", "doc_id", [("LOW_OCR_CONFIDENCE", "WARNING", "confidence < 0.5"), ("HIGH_LOW_CONFIDENCE_RATIO", "WARNING", "low_ratio > 0.30")]))
+def check_ocr_confidence(spark, d):
+    from ..operators.reports import ocr_confidence
+
+    return R.check_ocr_confidence(ocr_confidence(A.tokens(spark, d)))
+
+
+@query("L04_edit_rules", "SELECT p_name AS keyword, CASE WHEN min(p_partkey) % 3 = 0 THEN 9 ELSE min(p_size) END::INT AS priority, CASE WHEN min(p_partkey) % 3 = 0 THEN '700' ELSE '304' END AS account FROM part GROUP BY p_name HAVING min(p_partkey) % 3 <> 1")
+def edit_rules(spark, d):
+    from ..operators.state import edit_rules as edit
+
+    p = A.table(spark, d, "part").groupBy(F.col("p_name").alias("keyword")).agg(F.min("p_partkey").alias("k"), F.min("p_size").cast("int").alias("priority"))
+    edits = p.where("k % 3 <> 2").select("keyword", F.lit(9).alias("priority"), F.lit("700").alias("account"), F.when(F.col("k") % 3 == 0, "set").otherwise("remove").alias("op"))
+    return edit(p.select("keyword", "priority", F.lit("304").alias("account")), edits)
+
+
+@query("E20_correction_report", "WITH m AS (SELECT user_id AS eik, event_id AS seq, '304' AS account, CASE WHEN event_type = 'error' THEN '602' WHEN event_type = 'view' THEN '601' ELSE '304' END AS rv, CASE WHEN event_id % 2 = 0 THEN event_type END AS reason FROM events) SELECT eik, count(*) AS compared, count(*) FILTER (rv = account) AS exact, count(*) FILTER (rv <> account) AS corrected, arg_min(rv, seq) FILTER (rv <> account) AS learned_account, CASE WHEN count(*) FILTER (rv <> account) > 0 THEN coalesce(list(reason ORDER BY seq) FILTER (rv <> account)[1], 'м-ли') END AS learned_reason FROM m GROUP BY 1")
+def correction_report(spark, d):
+    from ..operators.reports import correction_report as report
+
+    kind = F.col("event_type")
+    m = A.table(spark, d, "events").select(F.col("user_id").alias("eik"), F.col("event_id").alias("seq"), F.lit("304").alias("account"), F.when(kind == "error", "602").when(kind == "view", "601").otherwise("304").alias("reviewed_account"), F.when(F.col("event_id") % 2 == 0, kind).alias("reason"))
+    return report(m)
+
+
+@query("D15_assign_columns", TOK + f""", k AS (SELECT t.*, semantic_type, x_left, x_right, "left" + width / 2 AS mid, least("left" + width, x_right) - greatest("left", x_left) AS ov FROM tokens t, {_COLS}),
+r AS (SELECT *, CASE WHEN mid BETWEEN x_left AND x_right THEN 0 WHEN ov > 0 THEN 1 ELSE 2 END AS tier FROM k),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY tier, CASE WHEN tier = 1 THEN -ov ELSE abs(mid - (x_left + x_right) / 2) END, semantic_type) = 1)
+SELECT doc_id, page, top, semantic_type, string_agg(text, ' ' ORDER BY i) AS cell FROM b GROUP BY ALL""")
+def assign_columns(spark, d):
+    cols = spark.createDataFrame([("p", "a", 0, 500), ("p", "b", 480, 1100), ("p", "c", 1300, 1900)], "page_kind string, semantic_type string, x_left int, x_right int")
+    return J.assign_columns(A.tokens(spark, d).withColumn("page_kind", F.lit("p")), cols)
