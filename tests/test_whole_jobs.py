@@ -4,8 +4,10 @@ import itertools
 from collections import defaultdict
 from decimal import Decimal
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import lmscore
 from ledgerloom.operators import layout
 from ledgerloom.plans import catalogue
 from ledgerloom.sources import adapters
@@ -43,3 +45,41 @@ def test_remainder_of_three_rows(spark):
     items = li.where("line_no > 2").join(li.groupBy("invoice_id").agg(F.sum("net").alias("tax_base")), "invoice_id")
     got = {r["invoice_id"]: (r["size"], r["rows"]) for r in layout.reconcile_remainder(items, li).collect()}
     assert got == {1: (3, "1,2,3"), 2: (1, "1")}
+
+
+def test_lm_weights_come_from_all_training_texts_and_counts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b c a b word{i % 7}") for i in range(60)], "doc_id long, text string")
+    seen, learn = {}, lmscore.learn_weights
+
+    def spy(docs, code, table, slots):
+        seen.update(texts=docs.count(), counts=table.value)
+        return learn(docs, code, table, slots)
+
+    monkeypatch.setattr(lmscore, "train_counts", lambda *_: np.full((2, 1 << 12, 2), 100_000, dtype=np.int32))
+    monkeypatch.setattr(lmscore, "learn_weights", spy)
+    n_train = lmscore.op2_lm_score(docs, slots=1 << 12).where("NOT held_out").count()
+    assert seen["texts"] == n_train and seen["counts"].min() == 100_000
+
+
+def test_lm_weights_are_carried_through_a_text():
+    rng, slots = np.random.default_rng(3), 1 << 12
+    c = lmscore.make_code([b"a", b"b", b"c", b"d"], [50, 30, 10, 5], 20, 7)
+    texts = [np.append(rng.integers(0, 6, n), 1).astype(np.uint32) for n in (3, 300, 0, 70)]
+    logit, seen = rng.normal(size=(2, slots)).astype(np.float32), rng.integers(0, 8, (2, slots)).astype(np.uint8)
+    first = rng.normal(size=(64, 3)).astype(np.float32)
+    want = []
+    for t in texts:
+        w, bits = first.astype(float), 0.0
+        sym = t.astype(np.int64)
+        prev1, prev2 = lmscore._before(sym, np.array([0]))
+        for i in range(len(t)):
+            at = slice(i, i + 1)
+            _, place, (one, two) = lmscore._decisions(sym[at], prev1[at], prev2[at], c, slots)
+            before = w.copy()  # weights change after each symbol
+            for p, a, b in zip(place, one, two):
+                x, g = np.array([c["logit"][p], logit[0][a], logit[1][b]], dtype=float), int(seen[1][b]) * 8 + int(seen[0][a])
+                q = np.clip(1 / (1 + np.exp(-x @ before[g])), 1e-5, 1 - 1e-5)
+                bits += np.log2(q if c["bit"][p] else 1 - q)
+                w[g] = before[g] + (float(c["bit"][p]) - q) * 0.002 * x
+        want.append(bits)
+    assert np.allclose(lmscore.score_group(texts, c, logit, seen, first, slots), want, rtol=1e-4)
