@@ -29,9 +29,10 @@ KINDS = ("assign", "access", "hex", "crf")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: The most lines of each sort, with and without a labelled secret, that the field is trained on, and words of a line used.
 MAX_LINES, MAX_WORDS = 2000, 128
-#: Words of at most so many bytes have their whole shape looked at; longer ones are taken by their first bytes.
-_SHAPED = 256
+#: Shapes of words of at most so many bytes are kept; those of longer ones are worked out anew.
+_KEPT = 256
 _HINT = re.compile(rb"pass|secret|token|key|akia|auth|bearer|pwd|credential", re.I)
+_LOWER, _UPPER, _DIGIT, _OTHER, _NOT_HEX = (re.compile(x) for x in (rb"[a-z]", rb"[A-Z]", rb"[0-9]", rb"[^0-9A-Za-z]", rb"[^0-9a-f]"))
 _LENGTHS = (4, 8, 12, 16, 20, 32)
 _EDGE, _CLASSES = 0, 1 + 2 * 3 * 10 * (len(_LENGTHS) + 1)
 _FILES, O, B, I = 4, 0, 1, 2
@@ -59,13 +60,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def shape(word: bytes) -> int:
     """A word's class: hint word or not, end mark, characters, length."""
-    w = word[:_SHAPED]
-    hint = 1 if _HINT.search(w) else 0
-    end = 1 if w[-1:] in (b":", b"=") else 2 if b"=" in w or b":" in w else 0
-    core = w.strip(b"\"'.,;:!?()[]{}<>=")
-    lower, upper, digit = any(97 <= c < 123 for c in core), any(65 <= c < 91 for c in core), any(48 <= c < 58 for c in core)
-    other = any(not (48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123) for c in core)
-    if core and all(c in b"0123456789abcdef" for c in core) and digit:
+    hint = 1 if _HINT.search(word) else 0
+    end = 1 if word[-1:] in (b":", b"=") else 2 if b"=" in word or b":" in word else 0
+    core = word.strip(b"\"'.,;:!?()[]{}<>=")
+    lower, upper, digit, other = (x.search(core) is not None for x in (_LOWER, _UPPER, _DIGIT, _OTHER))
+    if digit and not _NOT_HEX.search(core):
         kind = 8
     elif other and digit:
         kind = 9
@@ -77,6 +76,8 @@ def shape(word: bytes) -> int:
 
 class _Shapes(dict):
     def __missing__(self, word: bytes) -> int:
+        if len(word) > _KEPT:
+            return shape(word)
         if len(self) > _CACHE:
             self.clear()
             self[b"\xff"] = _EDGE

@@ -7,7 +7,7 @@ from decimal import Decimal
 import numpy as np
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import lmscore
+from ledgerloom.llm import lmscore, secrets
 from ledgerloom.operators import layout
 from ledgerloom.plans import catalogue
 from ledgerloom.sources import adapters
@@ -83,3 +83,26 @@ def test_lm_weights_are_carried_through_a_text():
                 w[g] = before[g] + (float(c["bit"][p]) - q) * 0.002 * x
         want.append(bits)
     assert np.allclose(lmscore.score_group(texts, c, logit, seen, first, slots), want, rtol=1e-4)
+
+
+def plain_shape(word):
+    hint = any(x in word.lower() for x in (b"pass", b"secret", b"token", b"key", b"akia", b"auth", b"bearer", b"pwd", b"credential"))
+    end = 1 if word[-1:] in (b":", b"=") else 2 if b"=" in word or b":" in word else 0
+    core = word.strip(b"\"'.,;:!?()[]{}<>=")
+    kinds = [any(a <= c <= b for c in core) for a, b in (b"az", b"AZ", b"09")]
+    other = any(not chr(c).isalnum() or c > 127 for c in core)
+    if kinds[2] and all(c in b"0123456789abcdef" for c in core):
+        kind = 8
+    else:
+        kind = 9 if other and kinds[2] else kinds[0] + 2 * kinds[1] + 4 * kinds[2]
+    return 1 + ((hint * 3 + end) * 10 + kind) * 7 + sum(len(word) >= n for n in (4, 8, 12, 16, 20, 32))
+
+
+def test_shapes_look_at_whole_words():
+    rng, known = np.random.default_rng(8), secrets._known_shapes()
+    words = [b"x" * 300 + tail for tail in (b"", b"=", b"Password", b"9", b"-9", b":v", b"Q", "é".encode())] + [b"a" * 256 + b"0" * 50, b"," * 400, b"", b"\xfe"]
+    words += [bytes(rng.choice(list(b"abfgzAFZ019=:.-_'\xc3"), rng.integers(1, 600))) for _ in range(300)]
+    for w in words * 2:
+        assert secrets.shape(w) == plain_shape(w) == known[w], w
+    assert max(map(len, known)) <= 256
+    assert secrets._file_class(secrets._classes("x" * 400 + "_secret=" + "Ab1" * 20, known)) == 3
