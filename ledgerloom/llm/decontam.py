@@ -29,9 +29,9 @@ def raw_words(text: Column) -> Column:
 
 
 def item_words(benchmark: DataFrame) -> DataFrame:
-    """item_id and words (lower case); items without a word or without an id are left out."""
+    """item (own key of each id and text), item_id and words (lower case), stored; items without a word are left out."""
     out = benchmark.select("item_id", F.transform(raw_words(F.col("text")), ascii_lower).alias("words"))
-    return out.where("size(words) > 0 AND item_id IS NOT NULL").distinct()
+    return stored(out.where("size(words) > 0").distinct().withColumn("item", F.monotonically_increasing_id()), "items")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -47,18 +47,18 @@ def term_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, start, win (the words), and of each window the places and terms of its two rarest words.
+    """item, item_id, start, win (the words), and of each window the places and terms of its two rarest words.
 
     Places a and b count from the item's first word; b = a for one-word windows.
     """
     n = F.size("words")
-    starts = items.select("item_id", "words", F.explode(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))).alias("start"))
-    wins = starts.select("item_id", "start", F.slice("words", F.col("start") + 1, window).alias("win"))
-    placed = wins.select("item_id", "start", F.posexplode("win").alias("i", "term")).join(counts, "term")
-    rare = placed.groupBy("item_id", "start").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "i", "term"))), 1, 2).alias("r"))  # at most ``window`` words
+    starts = items.select("item", "item_id", "words", F.explode(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))).alias("start"))
+    wins = starts.select("item", "item_id", "start", F.slice("words", F.col("start") + 1, window).alias("win"))
+    placed = wins.select("item", "start", F.posexplode("win").alias("i", "term")).join(counts, "term")
+    rare = placed.groupBy("item", "start").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "i", "term"))), 1, 2).alias("r"))  # at most ``window`` words
     last = F.element_at("r", -1)
-    return wins.join(rare, ["item_id", "start"]).select(
-        "item_id", "start", "win", F.size("win").alias("len"),
+    return wins.join(rare, ["item", "start"]).select(
+        "item", "item_id", "start", "win", F.size("win").alias("len"),
         F.col("r")[0]["term"].alias("term_a"), (F.col("start") + F.col("r")[0]["i"]).alias("a"),
         last["term"].alias("term_b"), (F.col("start") + last["i"]).alias("b"),
     )
@@ -71,22 +71,22 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def aligned(index: DataFrame, wins: DataFrame) -> DataFrame:
-    """doc_id, item_id, shift: where the item would start for its rarest terms' lists to meet."""
+    """doc_id, item, shift: where the item would start for its rarest terms' lists to meet."""
 
     def shifted(term: str, place: str) -> DataFrame:
-        of = wins.select(F.col(term).alias("term"), "item_id", F.col(place).alias("place")).distinct()
-        return index.join(_small(of), "term").select("doc_id", "item_id", (F.col("pos") - F.col("place")).alias("shift"))
+        of = wins.select(F.col(term).alias("term"), "item", F.col(place).alias("place")).distinct()
+        return index.join(_small(of), "term").select("doc_id", "item", (F.col("pos") - F.col("place")).alias("shift"))
 
-    return shifted("term_a", "a").distinct().join(shifted("term_b", "b"), ["doc_id", "item_id", "shift"], "left_semi")
+    return shifted("term_a", "a").distinct().join(shifted("term_b", "b"), ["doc_id", "item", "shift"], "left_semi")
 
 
 def phrase_hits(docs: DataFrame, index: DataFrame, wins: DataFrame) -> DataFrame:
     """doc_id, item_id, start, at, len: window ``start`` of the item stands in the document from word ``at``."""
-    meet = stored(aligned(index, wins).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift")).alias("meets")), "aligned")  # no more than the document's words
+    meet = stored(aligned(index, wins).groupBy("doc_id").agg(F.collect_list(F.struct("item", "shift")).alias("meets")), "aligned")  # no more than the document's words
     few = (meet.agg(F.sum(F.size("meets"))).first()[0] or 0) <= MAX_BROADCAST_MEETS
     held = docs.select("doc_id", "text").join(F.broadcast(meet) if few else meet, "doc_id").select("doc_id", "meets", raw_words(F.col("text")).alias("ws"))
     held = held.select("doc_id", "ws", F.inline("meets"))
-    tried = held.join(_small(wins.select("item_id", "start", "win", "len")), "item_id").withColumn("at", F.col("shift") + F.col("start"))
+    tried = held.join(_small(wins.select("item", "item_id", "start", "win", "len")), "item").withColumn("at", F.col("shift") + F.col("start"))
     said = F.transform(F.slice("ws", F.greatest("at", F.lit(0)) + 1, F.col("len")), ascii_lower)
     exact = tried.where((F.col("at") >= 0) & (said == F.col("win")))
     return exact.select("doc_id", "item_id", "start", "at", "len").distinct()
@@ -103,25 +103,25 @@ def proximity_hits(index: DataFrame, wins: DataFrame, slop: int = 5) -> DataFram
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """All exact windows of the benchmark in the documents."""
-    items = stored(item_words(benchmark), "items")
+    items = item_words(benchmark)
     wins = stored(anchors(items, term_counts(docs, items), window), "windows")
     terms = stored(wins.select(F.col("term_a").alias("term")).union(wins.select("term_b")).distinct(), "anchor-terms")
     return stored(phrase_hits(docs, postings(docs, terms), wins), "hits")
 
 
 def summary(found: DataFrame) -> DataFrame:
-    """Per document with hits: n_hit, n_items, items_sha256."""
+    """Per document with hits: n_hit, n_items, items_sha256. A null id counts as one item, without a place in the hash."""
     covered = found.select("doc_id", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("len") - 1)).alias("p")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
-    items = found.select("doc_id", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("item")).alias("ids"))
-    return covered.join(items, "doc_id").select("doc_id", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
+    items = found.select("doc_id", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item")).alias("ids"))
+    return covered.join(items, "doc_id").select("doc_id", "n_hit", "n_items", F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
 
 
 def op7_decontamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document.
 
     Null texts have no words and no hits. Rows that share a doc_id share their hits. Rows with a null
-    doc_id aren't indexed and have no hits. Items without words or id match nothing; equal items both
-    count. With no items or no documents the result has no hits or no rows.
+    doc_id aren't indexed and have no hits. Items without words match nothing; equal items both
+    count, each text of an id that stands on several rows is looked for, and items without id count as one. With no items or no documents the result has no hits or no rows.
     """
     # hits are the smaller side; a hot passage makes as many rows as there are documents holding it
     got = summary(hits(docs, benchmark, window))

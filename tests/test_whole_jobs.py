@@ -4,10 +4,11 @@ import itertools
 from collections import defaultdict
 from decimal import Decimal
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import lmscore, secrets
+from ledgerloom.llm import decontam, lmscore, secrets
 from ledgerloom.operators import layout
 from ledgerloom.plans import catalogue
 from ledgerloom.sources import adapters
@@ -106,3 +107,18 @@ def test_shapes_look_at_whole_words():
         assert secrets.shape(w) == plain_shape(w) == known[w], w
     assert max(map(len, known)) <= 256
     assert secrets._file_class(secrets._classes("x" * 400 + "_secret=" + "Ab1" * 20, known)) == 3
+
+
+def test_decontamination_of_shared_and_null_item_ids(spark):
+    a, b, c = ("one two three four five six seven eight nine ten", "uno dos tres cuatro cinco seis siete ocho nueve one diez", "un deux trois quatre")
+    docs = [(1, f"x {a} y"), (2, f"{b} z"), (3, f"one diez {c}"), (4, f"{a} {b} {c}"), (5, "one two uno dos"), (6, None)]
+    docs += [(100 + i, "one two three six seven eight nine dos tres cuatro cinco seis siete nueve") for i in range(5)]
+    items = [(7, a), (7, b), (7, None), (None, c), (None, "no hit"), (8, b)]
+    d, m = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    for name, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+        con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    got = sorted(tuple(r) for r in decontam.op7_decontamination(d, m).collect())
+    assert got == sorted(con.sql(decontam.ORACLE).fetchall())
+    assert [r[3] for r in got[:5]] == [1, 2, 1, 3, 0]
