@@ -273,7 +273,7 @@ def distinct_contractors(spark, d):
 
 @query("K09_upsert_partners", f"WITH {PART}, base AS (SELECT country_code, eik, legal_name, 'old' AS updated FROM partners WHERE partner_id % 3 <> 0 AND partner_id % 10 <> 7), new AS (SELECT country_code, eik, legal_name || ' X' AS legal_name, 'new' AS updated FROM partners WHERE partner_id % 2 = 0 AND partner_id % 10 <> 7) SELECT country_code, eik, coalesce(new.legal_name, base.legal_name) AS legal_name, coalesce(new.updated, base.updated) AS updated FROM base FULL JOIN new USING (country_code, eik)")
 def upsert_partners(spark, d):
-    p = A.partners(spark, d).where("partner_id % 10 <> 7")
+    p = A.partners(spark, d)
     base = p.where("partner_id % 3 <> 0").select("country_code", "eik", "legal_name", F.lit("old").alias("updated"))
     new = p.where("partner_id % 2 = 0").select("country_code", "eik", F.concat("legal_name", F.lit(" X")).alias("legal_name"), F.lit("new").alias("updated"))
     return J.upsert(new, base, ["country_code", "eik"], ["legal_name", "updated"])
