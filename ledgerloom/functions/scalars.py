@@ -32,29 +32,62 @@ def _mod11(one: Column, two: Column) -> Column:
 
 # B01
 def parse_money(text: Column) -> Column:
-    """European or English number text to DECIMAL(18,2); null if it is no number.
+    """European or English number text to DECIMAL(28,8); null if it is no number.
 
-    Parentheses and any dash in front or behind mean negative. The last of several kinds of separators
-    is the decimal one; one separator kind is decimal unless it groups three digits more than once.
+    Parentheses or a dash in front mean negative; currency words and all other letters are dropped; a euro sign read as 6
+    or e after two decimals goes. Spaces group thousands, or part the cents ("109 74"); of other number groups the last with
+    a separator counts. Of two kinds of separators the last is the decimal one; a single comma is, unless it groups three
+    digits after more than two; several of a kind group.
     """
-    t = F.lower(F.trim(text.cast("string")))
-    t = F.regexp_replace(t, "(?U)(лева|лв\\.?|bgn|eur|euro|евро|usd|€|\\$)", "")
-    t = F.regexp_replace(t, "[\\s\\u00a0']", "")
-    negative = t.rlike("^\\(.*\\)$") | t.rlike("^[-–—−]") | t.rlike("[-–—−]$")
-    t = F.regexp_replace(t, "[()\\-–—−+]", "")
-    commas, dots = F.length(t) - F.length(F.replace(t, F.lit(","), F.lit(""))), F.length(t) - F.length(F.replace(t, F.lit("."), F.lit("")))
-    last_comma, last_dot = F.length(F.substring_index(t, ",", -1)), F.length(F.substring_index(t, ".", -1))
-    comma_decimal = F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    dot_decimal = F.replace(t, F.lit(","), F.lit(""))
+    return _let(F.trim(text.cast("string")), _money)
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` of a column that is worked out once, however often it is named."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _money(whole: Column) -> Column:
+    glyph = r"\s*[6eE€](?![\p{L}\d])"
+    bare = F.regexp_replace(F.regexp_replace(whole, r"^\((.*?)\)$", "$1"), rf"(\d+[,.]\d{{2}}){glyph}", "$1")
+    bare = _let(bare, lambda t: F.when(t.rlike(r"[.,]\d{2}"), t).otherwise(F.regexp_replace(t, rf"(\d+)\s+(\d{{2}}){glyph}", "$1.$2")))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?iu)лв\.?|лева|bgn|eur|евро|€", ""), r"[^\d.,\s\-–—−]", ""))
+
+    def signed(t: Column) -> Column:
+        kept = F.regexp_replace(F.trim(F.regexp_replace(t, r"[^\d.,\s]", "")), r"[.,]+$", "")
+        value = _let(_let(F.regexp_replace(kept, r"([.,])\s+(\d{2})(?!\d)", "$1$2"), _group), _plain)
+        return F.when(t.rlike(r"^[-–—−]") | whole.rlike(r"^\(.*\)$"), -value).otherwise(value)
+
+    return _let(bare, signed)
+
+
+def _group(t: Column) -> Column:
+    """One number of those between blanks."""
+
+    def of(parts: Column) -> Column:
+        last, marked = F.element_at(parts, -1), F.filter(parts, lambda x: x.rlike(r"\d") & x.rlike("[.,]"))
+        cents = last.rlike(r"^\d{2}$") & (F.size(marked) == 0)
+        return F.when(cents, F.concat(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), ""), F.lit("."), last)).when(F.size(marked) > 0, F.element_at(marked, -1)).otherwise(last)
+
+    grouped = t.rlike(r"^\d{1,3}(\s+\d{3})*\s+\d{3}([.,]\d{1,4})?$")
+    one = F.when(~t.rlike(r"\s"), t).when(grouped, F.regexp_replace(t, r"\s+", "")).otherwise(_let(F.split(t, r"\s+"), of))
+    return F.regexp_replace(one, r"[.,]+$", "")
+
+
+def _plain(t: Column) -> Column:
+    commas, dots = (F.length(t) - F.length(F.replace(t, F.lit(c), F.lit(""))) for c in ",.")
+    without = lambda c: F.replace(t, F.lit(c), F.lit(""))
+    after_comma, after_dot = F.length(F.substring_index(t, ",", -1)), F.length(F.substring_index(t, ".", -1))
+    point = lambda c: F.replace(c, F.lit(","), F.lit("."))
     plain = (
-        F.when((commas > 0) & (dots > 0), F.when(last_comma < last_dot, comma_decimal).otherwise(dot_decimal))
-        .when(commas > 1, dot_decimal)
-        .when(dots > 1, F.replace(t, F.lit("."), F.lit("")))
-        .when(commas == 1, comma_decimal)
+        F.when((commas > 0) & (dots > 0), F.when(after_comma < after_dot, point(without("."))).otherwise(without(",")))
+        .when(commas > 1, without(","))
+        .when((commas == 1) & (after_comma == 3) & (F.length(t) > 6), without(","))
+        .when(commas == 1, point(t))
+        .when((dots > 1) & (after_dot == 3), without("."))
         .otherwise(t)
     )
-    value = F.when(plain.rlike("^[0-9]*\\.?[0-9]+$|^[0-9]+\\.$"), plain.try_cast("decimal(28,8)"))
-    return F.round(F.when(negative, -value).otherwise(value), 2).try_cast("decimal(18,2)")
+    return _let(plain, lambda p: F.when(p.rlike(r"^[0-9]*\.?[0-9]+$|^[0-9]+\.$"), p.try_cast("decimal(28,8)")))
 
 
 # B02
@@ -72,7 +105,8 @@ def parse_date(text: Column) -> Column:
 
 
 # B03
-STRICT_LAYOUTS = ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "dd-MM-yyyy", "yyyy.MM.dd")
+#: The layouts that are read.
+STRICT_LAYOUTS = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd", "dd.MM.yyyy", "dd/MM/yyyy", "dd-MM-yyyy")
 
 
 def parse_date_strict(text: Column) -> Column:
@@ -101,7 +135,7 @@ def undouble_number(text: Column) -> Column:
 
 # B07, B08
 def check_digit9(base: Column) -> Column:
-    """The ninth digit for eight."""
+    """The ninth digit for eight. Weights 1 to 8, then 3 to 10."""
     return _mod11(_weighted(base, range(1, 9)), _weighted(base, range(3, 11)))
 
 
@@ -110,7 +144,7 @@ def eik9_valid(text: Column) -> Column:
 
 
 def eik13_valid(text: Column) -> Column:
-    """The first nine are valid, and the last is the check digit of digits 9 to 12."""
+    """The first nine are valid, and the last is the check digit of digits 9 to 12. The weights."""
     tail = _mod11(_weighted(text, (2, 7, 3, 5), 9), _weighted(text, (4, 9, 5, 7), 9))
     return F.coalesce(text.rlike("^[0-9]{13}$") & (check_digit9(text) == _digit(text, 9)) & (tail == _digit(text, 13)), F.lit(False))
 
@@ -126,18 +160,46 @@ def eik_check_digit(text: Column) -> Column:
 
 
 # B09
-CONFUSED = (("8", "0"), ("0", "8"), ("1", "7"), ("7", "1"), ("3", "8"), ("6", "5"), ("5", "6"), ("4", "6"))
+#: What each digit is taken for.
+CONFUSED = {"8": "0", "0": "8", "1": "7", "7": "1", "3": "8", "6": "5", "5": "6", "4": "6"}
+
+
+def _repaired(digits: Column) -> Column:
+    """Nine digits; as they are if valid, or unless exactly one swap of one digit makes them valid."""
+    swap = lambda i: F.translate(F.substr(digits, i, F.lit(1)), "".join(CONFUSED), "".join(CONFUSED.values()))
+    tries = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.concat(F.substr(digits, F.lit(1), i - 1), swap(i), F.substr(digits, i + 1)))
+    found = F.filter(tries, lambda c: (c != digits) & eik9_valid(c))
+    return F.when(eik9_valid(digits), digits).when(F.size(found) == 1, F.element_at(found, 1)).otherwise(digits)
 
 
 def eik_repair(text: Column) -> Column:
-    """A valid number stays. Else, if exactly one swap of one often confused digit makes it valid, that; else null."""
-    tries = []
-    for i in range(1, 10):
-        for a, b in CONFUSED:
-            t = F.concat(F.substring(text, 1, i - 1), F.lit(b), F.substr(text, F.lit(i + 1)))
-            tries.append(F.when((F.substring(text, i, 1) == a) & eik9_valid(t), t))
-    found = F.array_compact(F.array(*tries))
-    return F.when(eik9_valid(text), text).when(text.rlike("^[0-9]{9}$") & (F.size(found) == 1), F.element_at(found, 1))
+    """Nine digits repaired; text of any other number of digits as it is."""
+    d = _digits(text)
+    return F.when(F.length(d) == 9, _repaired(d)).otherwise(text)
+
+
+# B10, B11
+def normalize_eik(text: Column) -> Column:
+    """Digits of an EIK, or null: nine are repaired; of 10 to 12 the first window of nine that is or can be made valid, else ten that
+    don't start with 0; 13 lose an attached branch code if nine at an end are valid alone; of more the first valid window."""
+    d, n = _digits(text), F.length(_digits(text))
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(n - 8, F.lit(1))), lambda i: F.substr(d, i, F.lit(9)))
+    valid = lambda ws: F.try_element_at(F.filter(ws, lambda w: eik9_valid(w)), F.lit(1))
+    repaired = F.transform(windows, lambda w: _repaired(w))
+    whole = eik13_valid(d)
+    thirteen = F.when(~whole & eik9_valid(F.substring(d, 1, 9)), F.substring(d, 1, 9)).when(~whole & eik9_valid(F.substring(d, 5, 9)), F.substring(d, 5, 9)).otherwise(d)
+    return (
+        F.when(n == 9, repaired[0])
+        .when(n.between(10, 12), F.coalesce(valid(repaired), F.when((n == 10) & ~d.startswith("0"), d)))
+        .when(n == 13, thirteen)
+        .when(n > 13, valid(windows))
+    )
+
+
+def normalize_vat(text: Column) -> Column:
+    """BG and the EIK's digits, or any 9, 10 or 13 digits; null else."""
+    d = _digits(text)
+    return F.concat(F.lit("BG"), F.coalesce(normalize_eik(text), F.when(F.length(d).isin(9, 10, 13), d)))
 
 
 # B12
@@ -163,9 +225,14 @@ def normalize_bic(text: Column) -> Column:
 
 # B13
 def sanitize_vat_rate(text: Column, default: int = 20) -> Column:
-    v = F.abs(F.regexp_replace(text.cast("string"), "[%\\s]", "").try_cast("decimal(12,2)"))
-    near = lambda x: F.abs(x - 20) <= F.expr("0.5BD")
-    return F.when(v <= 25, v).when(near(v / 100) | near(v / 10), F.lit(20)).otherwise(F.lit(default)).cast("decimal(5,2)")
+    """A rate of at most 25 as it is; misread forms of 20 and all larger numbers 20 (or the default); null stays null."""
+    t = F.trim(F.regexp_replace(F.trim(text.cast("string")), "%+$", ""))
+    t = F.trim(F.regexp_replace(t, "^-", ""))
+    # How 20 is misread.
+    twenty = t.isin("2000", "20000", "200000", "2000.00", "2000.0", "200", "720", "720.00", "720.0", "72000", "120", "120.00", "3600", "36.00", "3000", "30000") | t.rlike(r"^[71/|I!l]20(\.0+)?$") | t.rlike(r"2000\d*|22000\d*")
+    v = F.abs(t.try_cast("decimal(28,8)"))
+    near = lambda x: F.abs(x - 20) < F.expr("0.5BD")
+    return F.when(text.isNull(), None).when(twenty, F.lit(20)).when(v.isNull(), F.lit(default)).when(v <= 25, v).when(near(v / 100) | near(v / 10), F.lit(20)).otherwise(F.lit(default)).cast("decimal(5,2)")
 
 
 # B14, B15
@@ -187,8 +254,51 @@ def default_currency(currency: Column, issued: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")) != "", c).when(issued >= F.lit("2026-01-01").cast("date"), "EUR").otherwise("BGN")
 
 
+# B16
+#: Number words.
+ONES = {"нула": 0, "един": 1, "една": 1, "едно": 1, "два": 2, "две": 2, "три": 3, "четири": 4, "пет": 5, "шест": 6, "седем": 7, "осем": 8, "девет": 9}
+TEENS = {
+    "десет": 10, "единадесет": 11, "единайсет": 11, "дванадесет": 12, "дванайсет": 12, "тринадесет": 13, "тринайсет": 13, "четиринадесет": 14, "четиринайсет": 14, "петнадесет": 15, "петнайсет": 15,
+    "шестнадесет": 16, "шестнайсет": 16, "седемнадесет": 17, "седемнайсет": 17, "осемнадесет": 18, "осемнайсет": 18, "деветнадесет": 19, "деветнайсет": 19,
+}
+TENS = {"двадесет": 20, "тридесет": 30, "четиридесет": 40, "петдесет": 50, "шестдесет": 60, "шейсет": 60, "седемдесет": 70, "осемдесет": 80, "деветдесет": 90}
+HUNDREDS = {
+    "сто": 100, "двеста": 200, "триста": 300, "четиристотин": 400, "петстотин": 500, "шестстотин": 600, "шетстотин": 600, "шестототин": 600, "шестотин": 600, "седемстотин": 700, "осемстотин": 800,
+    "деветстотин": 900,
+}
+THOUSANDS = ("хиляда", "хиляди")
+
+
+def _number_of(words: Column) -> Column:
+    """The number that an array of words names; other words are passed over; null for 0."""
+    glued = {h + w: x + v for h, x in HUNDREDS.items() for w, v in (ONES | TEENS | TENS).items()}
+    table = F.create_map(*(F.lit(x) for pair in (glued | ONES | TEENS | TENS | HUNDREDS).items() for x in pair))
+    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("now"))
+    step = lambda a, w: (
+        F.when(w.isin(*THOUSANDS), F.struct((a["total"] + F.greatest(a["now"], F.lit(1)) * 1000).alias("total"), F.lit(0).alias("now")))
+        .otherwise(F.struct(a["total"].alias("total"), (a["now"] + F.coalesce(F.try_element_at(table, w), F.lit(0))).alias("now")))
+    )
+    return F.aggregate(words, start, step, lambda a: F.nullif(a["total"] + a["now"], F.lit(0)))
+
+
+def amount_in_words(text: Column) -> Column:
+    """DECIMAL(18,2) of an amount in words, with cents in digits or words; null if there is none."""
+    t, unit, cents = F.lower(F.trim(text)), r"(?:лв\.?|лева|bgn|eur|евро)", r"(?:ст\.?|стотинки?|цент[ажд]?|ценгж)"
+    words = lambda p, i: F.split(F.trim(F.regexp_extract(t, p, i)), r"\s+")
+    digits, spelled, whole = rf"(?U)([\w\s]+?){unit}\s*(?:[имо\s]*)?(\d{{1,2}})\s*{cents}", rf"(?U)([\w\s]+?){unit}\s*(?:[имо\s]+)?([\w\s]+?)\s*{cents}", rf"(?U)([\w\s]+?){unit}"
+    amount = lambda leva, c: (leva + c.cast("decimal(18,2)") / 100).cast("decimal(18,2)")
+    in_words = _number_of(words(spelled, 2))
+    out = F.coalesce(
+        F.when(t.rlike(digits), amount(_number_of(words(digits, 1)), F.regexp_extract(t, digits, 2).try_cast("int"))),
+        F.when(t.rlike(spelled) & (in_words < 100), amount(_number_of(words(spelled, 1)), in_words)),
+        F.when(t.rlike(whole), _number_of(words(whole, 1)).cast("decimal(18,2)")),
+    )
+    return F.when(F.length(t) >= 5, out)
+
+
 # B17, B18, B19
-LEGAL_FORMS = "еоод|оод|еад|ад|ет|сд|кд|кда|дззд|ltd|llc|jsc|plc|gmbh|inc|ood|eood|ad|ead|et"
+#: Legal forms, Cyrillic and Latin.
+LEGAL_FORMS = "еоод|оод|еад|ад|ет|сд|кда|кд|дззд|ltd|llc|jsc|plc|gmbh|inc|eood|ood|ead|ad|et"
 
 
 def normalize_company(text: Column) -> Column:
@@ -234,12 +344,16 @@ def clean_text(text: Column) -> Column:
 
 
 # B21, B22, B23
-DOC_CODES = {"invoice": "01", "debit_note": "02", "credit_note": "03", "protocol": "09", "fiscal_report": "81"}
+#: The statutory code of each document type.
+DOC_CODES = {
+    "INVOICE": "01", "DEBIT_NOTE": "02", "CREDIT_NOTE": "03", "CUSTOMS_DECLARATION": "07", "PROTOCOL_CHL_117": "09", "FISCAL_RECEIPT": "01", "PAYMENT_ORDER_NAP": "01",
+    "FISCAL_MEMORY_REPORT": "81", "GOODS_RECEIPT": "00",
+}
 
 
 def nap_doc_type(kind: Column, is_credit: Column, is_debit: Column) -> Column:
     table = F.create_map(*(F.lit(x) for pair in DOC_CODES.items() for x in pair))
-    return F.when(is_credit, "03").when(is_debit, "02").otherwise(F.coalesce(F.try_element_at(table, F.lower(kind)), F.lit("01")))
+    return F.when(is_credit, "03").when(is_debit, "02").otherwise(F.coalesce(F.try_element_at(table, F.upper(F.trim(kind))), F.lit("01")))
 
 
 def target_period(text: Column) -> Column:
@@ -282,6 +396,27 @@ def normalize_bbox(left: Column, top: Column, width: Column, height: Column, pw:
     return F.struct(cut(left, pw).alias("x"), cut(top, ph).alias("y"), cut(width, pw).alias("w"), cut(height, ph).alias("h"))
 
 
+# B26
+def series_rules(number: Column, raw: Column | None = None) -> Column:
+    """struct(length, prefix, regex, homoglyphs): what a corrected number says of its series; null without digits.
+
+    The prefix is two or more leading zeros, one zero, four digits of ten, else two digits. homoglyphs maps what was read in
+    place of a digit to it, where the raw text has as many characters.
+    """
+    d = _digits(number)
+    n, zeros = F.length(d), F.length(F.regexp_extract(d, "^(0+)", 1))
+    size = F.when(zeros >= 2, zeros).when(zeros == 1, 1).when(n == 10, 4).otherwise(2)
+    prefix = F.substr(d, F.lit(1), size)
+    fixed = (zeros >= 1) | (n == 10)
+    regex = F.when(fixed, F.format_string("^%s\\d{%d}$", prefix, n - size)).otherwise(F.format_string("^\\d{%d}$", n))
+    r = F.regexp_replace(F.coalesce(raw if raw is not None else F.lit(None).cast("string"), F.lit("")), r"\s+", "")
+    pairs = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(F.substr(r, i, F.lit(1)).alias("k"), F.substr(d, i, F.lit(1)).alias("v"))), lambda x: ~x["k"].rlike("[0-9]"))
+    both = F.flatten(F.transform(pairs, lambda x: F.array(x, F.struct(F.upper(x["k"]).alias("k"), x["v"].alias("v")), F.struct(F.lower(x["k"]).alias("k"), x["v"].alias("v")))))
+    last = F.aggregate(both, F.expr("map_from_arrays(array(), array())").cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, v: k != x["k"]), F.create_map(x["k"], x["v"])))
+    glyphs = F.when((F.length(r) == n) & ~r.rlike("^[0-9]*$"), last)
+    return F.when(n > 0, F.struct(n.alias("length"), prefix.alias("prefix"), regex.alias("regex"), glyphs.alias("homoglyphs")))
+
+
 # B27, B28, B29
 def company_keywords(name: Column) -> Column:
     """The lower-cased name, then its words of three letters or more without legal forms; five at most."""

@@ -33,101 +33,88 @@ def reconcile_amounts(df: DataFrame, default_date: str = "2026-12-31") -> DataFr
     })
 
 
-def _in_bgn(amount: Column, currency: Column) -> Column:
-    return F.when(currency == "EUR", S.eur_to_bgn(amount)).otherwise(money(amount))
-
-
-def _ledger(df: DataFrame, nine: Column, zero_name: str, nine_name: str) -> DataFrame:
-    """Signed amounts in one currency, split over the 20 %, 9 % and zero columns."""
-    cur = S.default_currency(F.col("currency"), F.col("date_issued"))
-    sign = F.when(F.col("is_credit_note"), -1).otherwise(1)
-    base, vat = money(F.coalesce("tax_base", _zero())), money(F.coalesce("vat", _zero()))
-    out = df.withColumns({"doc_type": S.nap_doc_type(F.lit("invoice"), F.col("is_credit_note"), F.lit(False)), "number": S.normalize_doc_number(F.col("invoice_id")), "b": money(_in_bgn(F.abs(base), cur) * sign), "v": money(_in_bgn(F.abs(vat), cur) * sign)})
-    none = (F.col("v") == 0) & (F.col("b") != 0)
-    bucket = F.when(none, "zero").when(nine, "nine").otherwise("twenty")
-    pick = lambda which, c: money(F.when(F.col("bucket") == which, F.col(c)).otherwise(0))
-    out = out.withColumn("bucket", bucket)
-    return out.withColumns({"base_20": pick("twenty", "b"), "vat_20": pick("twenty", "v"), nine_name: pick("nine", "b"), nine_name.replace("base", "vat"): pick("nine", "v"), zero_name: pick("zero", "b")})
-
-
-# I02
-def to_purchase_ledger(df: DataFrame) -> DataFrame:
-    """The 9 % column also takes documents whose effective rate lies between 8 and 10 %."""
-    rate = F.try_divide(F.col("v"), F.col("b"))
-    nine = ((F.col("max_rate") == 9) & (F.col("base_9") == F.col("tax_base"))) | rate.between(F.expr("0.08BD"), F.expr("0.10BD"))
-    return _ledger(df, F.coalesce(nine, F.lit(False)), "no_credit", "base_9p").select("invoice_id", "period", "doc_type", "number", F.coalesce("supplier_eik", F.lit("999999999")).alias("partner_eik"), "date_issued", "base_20", "vat_20", "base_9p", "vat_9p", "no_credit")
-
-
-# I03
-def to_sales_ledger(df: DataFrame) -> DataFrame:
-    """The 9 % column follows the lines' rates only."""
-    nine = F.coalesce((F.col("max_rate") == 9) & (F.col("base_9") == F.col("tax_base")), F.lit(False))
-    return _ledger(df, nine, "exempt", "base_9p").select("invoice_id", "period", "doc_type", "number", F.coalesce("recipient_eik", F.lit("999999999")).alias("partner_eik"), "date_issued", "base_20", "vat_20", "base_9p", "vat_9p", "exempt")
-
-
-# E15
-def vat_return(purchases: DataFrame, sales: DataFrame, coef: str = "1.00", prior: str = "0") -> DataFrame:
-    """Cells by period. 43 = 40 + 41 * coef; 20 - 43 goes to 50 (payable) or 60 (refund); 80 = what is left of 50 after ``prior``."""
-    total = lambda *cs: money(F.coalesce(F.sum(sum((F.col(c) for c in cs[1:]), F.col(cs[0]))), F.lit(0)))
-    s = sales.groupBy("period").agg(total("base_20").alias("c11"), total("vat_20").alias("c21"), total("base_9p").alias("c13"), total("vat_9p").alias("c24"), total("exempt").alias("c19"), F.count("*").alias("n_sales"))
-    p = purchases.groupBy("period").agg(total("base_20", "base_9p", "no_credit").alias("c30"), total("base_20", "base_9p").alias("c31"), total("vat_20", "vat_9p").alias("c40"), F.count("*").alias("n_purchases"))
-    both = s.join(p, "period", "full_outer")
-    zero = {c: money(F.coalesce(c, F.lit(0))) for c in ("c11", "c21", "c13", "c24", "c19", "c30", "c31", "c40")} | {c: F.coalesce(c, F.lit(0)) for c in ("n_sales", "n_purchases")}
-    out = both.withColumns(zero)
-    out = out.withColumns({"c01": money(F.col("c11") + F.col("c13") + F.col("c19")), "c20": money(F.col("c21") + F.col("c24")), "c41": _zero()})
-    out = out.withColumn("c43", money(F.col("c40") + F.round(F.col("c41") * F.expr(f"{coef}BD"), 2)))
-    due = money(F.col("c20") - F.col("c43"))
-    out = out.withColumns({"c50": money(F.greatest(due, F.lit(0))), "c60": money(F.greatest(-due, F.lit(0)))})
-    return out.withColumn("c80", money(F.greatest(F.col("c50") - F.lit(prior).cast(MONEY), F.lit(0))))
-
-
-# E16
-def vat_return_audit(decl: DataFrame, purchases: DataFrame, sales: DataFrame, tol: str = "0.02") -> DataFrame:
-    """A row per failed check: sales VAT, purchase VAT and the result against the ledgers."""
-    s = sales.groupBy("period").agg(money(F.sum(F.col("vat_20") + F.col("vat_9p"))).alias("s"))
-    p = purchases.groupBy("period").agg(money(F.sum(F.col("vat_20") + F.col("vat_9p"))).alias("p"))
-    both = decl.join(s, "period", "left").join(p, "period", "left")
-    s, p = F.coalesce("s", F.lit(0)), F.coalesce("p", F.lit(0))
-    checks = F.array(*(F.struct(F.lit(n).alias("check"), money(d).alias("difference")) for n, d in (("SALES_VAT", F.col("c20") - s), ("PURCHASE_VAT", F.col("c40") - p), ("RESULT", F.col("c50") - F.col("c60") - s + p))))
-    return both.select("period", F.inline(checks)).where(F.abs("difference") > F.expr(f"{tol}BD"))
-
-
-# I04, I05, F12
-def protocols_117(df: DataFrame, flagged: Column) -> DataFrame:
-    """Self-assessed documents: base, 20 % VAT, a number in input order."""
-    base = money(F.coalesce("tax_base", "total", _zero()))
-    out = df.where(flagged).select("invoice_id", "period", "date_issued", base.alias("base"), money(F.round(base * F.expr("0.20BD"), 2)).alias("vat"))
-    return number_protocols(out)
-
-
-def number_protocols(df: DataFrame, start: int = 1, by: str = "period") -> DataFrame:
-    """Sequential ten-digit numbers within each period, in input order."""
-    return df.withColumn("protocol", F.lpad((F.row_number().over(W.partitionBy(by).orderBy("invoice_id")) + (start - 1)).cast("string"), 10, "0"))
-
-
-def protocol_ledger_rows(protocols: DataFrame) -> DataFrame:
-    """One purchase and one sales row of type 09 for each protocol."""
-    row = lambda side: F.struct(F.lit(side).alias("side"), F.lit("09").alias("doc_type"))
-    return protocols.select("period", "protocol", "base", "vat", F.inline(F.array(row("purchase"), row("sale"))))
-
-
-# I06, I07
+# I08
+#: Words of services, fuels, supplies and goods, with their account and reason.
+ACCOUNT_WORDS = (
+    (("услуга", "абонамент", "наем", "транспорт", "куриер", "ремонт", "софтуер"), "602", "външни услуги"),
+    (("гориво", "дизел", "бензин", "масло", "газ"), "601", "горива"),
+    (("консуматив", "почистващ", "хартия", "офис"), "609", "консумативи"),
+    (("стока", "кафе", "напитка", "бира", "вино", "храна", "тютюн", "наргиле"), "304", "стоки"),
+)
+
+
+def expense_account(df: DataFrame, suppliers: DataFrame, groups=ACCOUNT_WORDS, default: str = "304") -> DataFrame:
+    """df: invoice_id, supplier_eik and items (joined descriptions). Adds account and reason: a known supplier's (suppliers: eik,
+    account, reason), else the first group with a word in the items, else the default."""
+    eik = F.regexp_replace(F.upper(F.regexp_replace(F.coalesce("supplier_eik", F.lit("")), "[^0-9A-Za-z]", "")), "^BG(?=.)", "")
+    own = suppliers.select(F.col("eik").alias("__eik"), F.col("account").alias("__account"), F.col("reason").alias("__reason"))
+    out, text = df.join(own, eik == F.col("__eik"), "left"), F.lower(F.coalesce("items", F.lit("")))
+    pick = lambda known, at, last: F.coalesce(known, F.coalesce(*(F.when(text.rlike("|".join(g[0])), g[at]) for g in groups)), F.lit(last))
+    return out.withColumns({"account": pick(F.col("__account"), 1, default), "reason": pick(F.col("__reason"), 2, "стоки" if default == "304" else "разходи")}).drop("__eik", "__account", "__reason")
+
+
+# I09
+def service_or_goods(df: DataFrame, words: tuple[str, ...]) -> DataFrame:
+    """602 if the supplier's name or an item has one of the words, else 304."""
+    text = F.lower(F.concat_ws(" ", F.coalesce("supplier_name", F.lit("")), F.coalesce("items", F.lit(""))))
+    return df.withColumn("account", F.when(text.rlike("|".join(words)), "602").otherwise("304"))
+
+
+# I11
+def direction(df: DataFrame, clients: DataFrame) -> DataFrame:
+    """PURCHASE where the recipient is a client (clients: eik), else SALE where the supplier is, else PURCHASE."""
+    of = lambda c: clients.select(F.col("eik").alias(c)).distinct()
+    out = df.join(of("__r").withColumn("__is_r", F.lit(True)), F.col("recipient_eik") == F.col("__r"), "left").join(of("__s").withColumn("__is_s", F.lit(True)), F.col("supplier_eik") == F.col("__s"), "left")
+    return out.withColumn("direction", F.when(F.col("__is_r"), "PURCHASE").when(F.col("__is_s"), "SALE").otherwise("PURCHASE")).drop("__r", "__is_r", "__s", "__is_s")
+
+
+# I06
+def to_journal_entries(df: DataFrame) -> DataFrame:
+    """A row per posting: debit and credit account, amount (negative on credit notes), and the entry's own amounts and balance.
+
+    df: account (of the expense) beside the header. A missing total or base is filled; a total off by up to 0.02 follows the
+    sum; else the base gives way. Fiscal reports post to 501, 702 and 4532; goods receipts 304 to 401 for the total.
+    """
+    report, receipt = (F.coalesce(F.col("doc_kind") == k, F.lit(False)) for k in ("FISCAL_MEMORY_REPORT", "GOODS_RECEIPT"))
+    credit = F.col("is_credit_note") & ~report & ~receipt
+    amount = lambda c: money(F.abs(F.coalesce(c, _zero())) * F.when(credit, -1).otherwise(1))
+    b, v, t = (F.col(c) for c in ("__b", "__v", "__t"))
+    df = df.withColumns({"__b": amount("tax_base"), "__v": amount("vat"), "__t": amount("total")})
+    off = b + v != t
+    base = F.when((t == 0) & (b + v != 0), b).when((b == 0) & (t != 0) & (v == 0), t).when(F.abs(b + v - t) <= F.expr("0.02BD"), b).when(off & (v != 0), t - v).when(off, t).otherwise(b)
+    total = F.when((t == 0) & (b + v != 0), b + v).when((b == 0) & (t != 0) & (v == 0), t).when(F.abs(b + v - t) <= F.expr("0.02BD"), b + v).otherwise(t)
+    own_base = F.when(receipt, t).when(report, F.when((b == 0) & (v != 0) & (t != 0), t - v).otherwise(b)).otherwise(base)
+    own_vat = F.when(receipt, _zero()).otherwise(v)
+    own_total = F.when(receipt, t).when(report, F.when((t != 0) & (b == 0) & (v != 0), t).otherwise(b + v)).otherwise(total)
+    df = df.withColumns({"entry_base": money(own_base), "entry_vat": money(own_vat), "entry_total": money(own_total)})
+    post = lambda line, d, c, a: F.struct(F.lit(line).alias("line"), d.alias("debit_account"), c.alias("credit_account"), money(a).alias("amount"))
+    first = post(1, F.when(report, "501").when(receipt, "304").otherwise(F.col("account")), F.when(report, "702").otherwise("401"), F.col("entry_base"))
+    second = post(2, F.when(report, "501").otherwise("4531"), F.when(report, "4532").otherwise("401"), F.col("entry_vat"))
+    rows = F.array_compact(F.array(F.when(report | receipt | (F.col("entry_base") != 0), first), F.when(report | ~receipt & (F.col("entry_vat") != 0), second)))
+    return df.select("invoice_id", S.normalize_doc_number(F.col("invoice_id")).alias("doc_number"), "entry_base", "entry_vat", "entry_total", (F.col("entry_base") + F.col("entry_vat") == F.col("entry_total")).alias("is_balanced"), credit.alias("is_storno"), F.inline(rows))
+
+
+# I07
 def to_operations(df: DataFrame) -> DataFrame:
-    """Up to four signed rows per invoice: rows exist for base > 0 and VAT > 0 only; a credit note turns the sign."""
-    sign = F.when(F.col("is_credit_note"), -1).otherwise(1)
-    base, vat = (money(F.coalesce(c, F.lit(0)) * sign) for c in ("tax_base", "vat"))
+    """Up to four signed rows per invoice, for base > 0 and VAT > 0 only. A sale's debit and credit have the same sign, a purchase's
+    opposite ones; a credit note turns both; an annulled sale is a pair of zeros. df: account of the expense (304 if there is none), is_annulled."""
+    for c, v in (("account", "304"), ("is_annulled", False)):
+        df = df if c in df.columns else df.withColumn(c, F.lit(v))
+    off = F.coalesce("is_annulled", F.lit(False))
+    turn = F.when(F.col("is_credit_note"), -1).otherwise(1)
+    base, vat = (money(F.when(off, 0).otherwise(F.coalesce(c, F.lit(0)))) for c in ("tax_base", "vat"))
     sale, cash = F.col("is_sale"), F.col("payment_method") == "CASH"
 
-    def row(when: Column, line: int, direction: str, account: Column, amount: Column) -> Column:
-        return F.when(when, F.struct(F.lit(line).alias("line"), F.lit(direction).alias("direction"), account.alias("account"), money(amount).alias("amount")))
+    def row(when: Column, line: int, side: str, account: Column, amount: Column) -> Column:
+        return F.when(when, F.struct(F.lit(line).alias("line"), F.lit(side).alias("direction"), account.alias("account"), money(amount).alias("amount")))
 
     money_account = F.when(cash, "501").otherwise(F.when(sale, "411").otherwise("401"))
-    has_base, has_vat = F.col("tax_base") > 0, F.col("vat") > 0
+    has_base, has_vat, none = base > 0, vat > 0, sale & off
     rows = F.array_compact(F.array(
-        row(has_base & ~sale, 1, "D", F.lit("304"), base), row(has_base & sale, 1, "D", money_account, base),
-        row(has_base & ~sale, 1, "K", money_account, base), row(has_base & sale, 1, "K", F.lit("702"), base),
-        row(has_vat & ~sale, 2, "D", F.lit("453/1"), vat), row(has_vat & sale, 2, "D", money_account, vat),
-        row(has_vat & ~sale, 2, "K", money_account, vat), row(has_vat & sale, 2, "K", F.lit("453/2"), vat),
+        row(has_base & ~sale, 1, "D", F.col("account"), base * turn), row((has_base | none) & sale, 1, "D", money_account, base * turn),
+        row(has_base & ~sale, 1, "K", money_account, -base * turn), row((has_base | none) & sale, 1, "K", F.lit("702"), base * turn),
+        row(has_vat & ~sale, 2, "D", F.lit("4531"), vat * turn), row(has_vat & sale, 2, "D", money_account, vat * turn),
+        row(has_vat & ~sale, 2, "K", money_account, -vat * turn), row(has_vat & sale, 2, "K", F.lit("4532"), vat * turn),
     ))
     return df.select("invoice_id", "period", "is_sale", "is_credit_note", F.inline(rows))
 
@@ -151,12 +138,18 @@ def transfer_rows(df: DataFrame, start: int = 1001) -> DataFrame:
 
 
 def number_operations(df: DataFrame, start: int = 1001) -> DataFrame:
-    """kon_id = start + the place in order of invoice_id, found from counts of id ranges so no task holds all rows."""
-    part = F.expr("invoice_id div 4096").alias("part")
-    sizes = df.groupBy(part).agg(F.count("*").alias("n"))
-    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # a row for 4096 ids
-    placed = df.withColumn("part", F.expr("invoice_id div 4096")).withColumn("at", F.row_number().over(W.partitionBy("part").orderBy("invoice_id")))
-    return placed.join(before, "part").withColumn("kon_id", F.col("before") + F.col("at") + (start - 1)).drop("part", "at", "before")
+    """kon_id = start + the place in order of invoice_id.
+
+    Places come from counts of ranges of ids, in two levels: 4096 ids in a range, 4096 ranges in a group; a window holds one
+    range, one group's ranges, or the groups (one for 16 million ids).
+    """
+    part, group = F.expr("invoice_id div 4096"), F.expr("invoice_id div 16777216")
+    before = lambda w: F.sum("n").over(w) - F.col("n")
+    parts = df.groupBy(group.alias("group"), part.alias("part")).agg(F.count("*").alias("n"))
+    groups = parts.groupBy("group").agg(F.sum("n").alias("n")).select("group", before(W.orderBy("group")).alias("before_group"))
+    parts = parts.select("group", "part", before(W.partitionBy("group").orderBy("part")).alias("before_part")).join(groups, "group").select("part", (F.col("before_group") + F.col("before_part")).alias("before"))
+    placed = df.withColumn("part", part).withColumn("at", F.row_number().over(W.partitionBy("part").orderBy("invoice_id")))
+    return placed.join(parts, "part").withColumn("kon_id", F.col("before") + F.col("at") + (start - 1)).drop("part", "at", "before")
 
 
 # I14

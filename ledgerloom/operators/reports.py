@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ledgers import number_operations
+
 MONEY = "decimal(18,2)"
 
 
@@ -92,9 +94,9 @@ def client_dossier(ops: DataFrame, top: int = 10) -> DataFrame:
 
 # E22
 def transfer_batch_totals(docs: DataFrame, limit: int = 150) -> DataFrame:
-    """Batches of ``limit`` valid documents in id order."""
-    part = F.expr(f"invoice_id div {limit}")
-    return docs.where("tax_base IS NOT NULL").groupBy(part.alias("batch")).agg(F.count("*").alias("n"), _sum("tax_base").alias("tax_base"), _sum("vat").alias("vat"), _sum("total").alias("total"), F.array_join(F.transform(F.array_sort(F.collect_list("invoice_id")), lambda x: x.cast("string")), ",").alias("numbers"))
+    """Batches of ``limit`` valid documents each, in order of invoice_id."""
+    placed = number_operations(docs.where("tax_base IS NOT NULL"), 0)
+    return placed.groupBy(F.expr(f"kon_id div {limit}").alias("batch")).agg(F.count("*").alias("n"), _sum("tax_base").alias("tax_base"), _sum("vat").alias("vat"), _sum("total").alias("total"), F.array_join(F.transform(F.array_sort(F.collect_list("invoice_id")), lambda x: x.cast("string")), ",").alias("numbers"))
 
 
 # E23, E24
@@ -111,10 +113,22 @@ def ocr_confidence(tokens: DataFrame) -> DataFrame:
 
 
 # E25
+#: Words of a page's heading and sums.
+PAGE_WORDS = ("фактура", "invoice", "доставчик", "получател", "данъчна основа", "ддс", "общо")
+
+
 def pass_score(tokens: DataFrame) -> DataFrame:
-    """Score of each pass of a page; the best pass is marked."""
-    mean, share = F.avg("conf"), F.avg((F.col("conf") >= 80).cast("int"))
-    per = tokens.groupBy("doc_id", "page", "pass").agg(F.round(0.4 * mean + 30 * share + 0.2 * F.least(F.sum(F.length("text")) / 10, F.lit(50)), 4).alias("score"))
+    """Score of each pass of a page (tokens without confidence don't count in the means); the best pass is marked. The weights.
+
+    A page's text is its tokens in order of ``i``, with a blank between.
+    """
+    pos = F.col("conf") > 0
+    text = F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), " "))
+    per = tokens.groupBy("doc_id", "page", "pass").agg(F.avg(F.when(pos, F.col("conf"))).alias("mean"), F.avg(F.when(pos, (F.col("conf") >= 80).cast("int"))).alias("share"), F.sum(F.length("text")).alias("chars"), text.alias("t"))
+    points = lambda p, n: F.when(F.col("t").rlike(p), n).otherwise(0)
+    bonus = points(r"[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}", 3) + points("[0-9]{3,}", 2) + points("|".join(PAGE_WORDS), 5)
+    score = F.round(0.4 * F.col("mean") + 30 * F.col("share") + 0.2 * F.least(F.col("chars") / 10, F.lit(50)) + bonus, 4)
+    per = per.select("doc_id", "page", "pass", F.when(F.col("mean").isNull(), 0.0).otherwise(score).alias("score"))
     w = W.partitionBy("doc_id", "page").orderBy(F.desc("score"), "pass")
     return per.withColumn("best", F.row_number().over(w) == 1)
 
@@ -132,9 +146,17 @@ def partner_sync_report(responses: DataFrame) -> DataFrame:
 
 # F01
 def sequence_gaps(numbers: DataFrame, group: str, key: str) -> DataFrame:
-    """Runs of missing numbers of each group: from, to."""
-    nxt = F.lead(key).over(W.partitionBy(group).orderBy(key))
-    return numbers.select(group, key).distinct().withColumn("next", nxt).where(F.col("next") > F.col(key) + 1).select(group, (F.col(key) + 1).alias("gap_from"), (F.col("next") - 1).alias("gap_to"), (F.col("next") - F.col(key) - 1).alias("n_missing"))
+    """Of each group the numbers missing in 1..n (n: how many different ones it has) as runs from, to; and its n, min and max.
+
+    A group without a gap has one row, with nulls for the run. No list of numbers is made, whatever n is.
+    """
+    all_, part = numbers.select(group, F.col(key).cast("long").alias("k")).distinct(), W.partitionBy(group)
+    own = all_.groupBy(group).agg(F.count("*").alias("n"), F.min("k").alias("min"), F.max("k").alias("max"))
+    ends = own.select(group, F.explode(F.array(F.lit(0).cast("long"), F.col("n") + 1)).alias("k"))
+    inside = all_.join(own.select(group, "n"), group).where("k BETWEEN 1 AND n").select(group, "k").unionByName(ends)
+    runs = inside.withColumn("next", F.lead("k").over(part.orderBy("k"))).where(F.col("next") > F.col("k") + 1)
+    runs = runs.select(group, (F.col("k") + 1).alias("gap_from"), (F.col("next") - 1).alias("gap_to"), (F.col("next") - F.col("k") - 1).alias("n_missing"))
+    return own.join(runs, group, "left")
 
 
 # F02

@@ -2,35 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _fixed(c: str, width: int) -> Column:
-    return F.rpad(F.left(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(width)), width, " ")
-
-
-def _amount(c: str, width: int = 15) -> Column:
-    return F.lpad(F.coalesce(F.col(c), F.lit(0)).cast("decimal(18,2)").cast("string"), width, " ")
-
-
-# K01, K02
-def ledger_lines(ledger: DataFrame, text: dict[str, int], amounts: list[str], fmt: str = "fixed") -> DataFrame:
-    """One column ``line``: fixed width, tab or semicolon separated."""
-    if fmt == "fixed":
-        return ledger.select(F.concat(*(_fixed(c, w) for c, w in text.items()), *(_amount(c) for c in amounts)).alias("line"))
-    sep = "\t" if fmt == "tsv" else ";"
-    return ledger.select(F.concat_ws(sep, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in text), *(F.trim(_amount(c)) for c in amounts)).alias("line"))
-
-
-# K03
-def vat_return_lines(decl: DataFrame) -> DataFrame:
-    """period, seq and [cell]=value for each cell."""
-    cells = sorted(c for c in decl.columns if c.startswith("c") and c[1:].isdigit())
-    rows = F.array(*(F.struct(F.lit(i).alias("seq"), F.concat(F.lit(f"[{c[1:]}]="), F.col(c).cast("string")).alias("line")) for i, c in enumerate(cells)))
-    return decl.select("period", F.inline(rows))
-
-
 # K07
 def operation_pairs(rows: DataFrame) -> DataFrame:
     """Debit and credit of each operation line side by side; incomplete pairs are skipped."""
@@ -39,12 +14,13 @@ def operation_pairs(rows: DataFrame) -> DataFrame:
     return out.where("debit_account IS NOT NULL AND credit_account IS NOT NULL")
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    """Text in cp1251 with CRLF: a CSV of one column without quoting, since the text writer knows UTF-8 only."""
+def write_lines(lines: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """Text in cp1251 with CRLF: a CSV of one column without quoting, since the text writer knows UTF-8 only. by: columns that name folders."""
     spark = lines.sparkSession
     before = spark.conf.get("spark.sql.legacy.javaCharsets", "false")
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # read when the write is planned
     try:
-        lines.select("line").write.option("encoding", "windows-1251").option("lineSep", "\r\n").option("quote", "").option("escape", "").option("sep", "\u0001").option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(path)
+        out = lines.select(*by, "line").write.option("encoding", "windows-1251").option("lineSep", "\r\n").option("quote", "").option("escape", "").option("sep", "\u0001").option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False)
+        (out.partitionBy(*by) if by else out).csv(path)
     finally:
         spark.conf.set("spark.sql.legacy.javaCharsets", before)

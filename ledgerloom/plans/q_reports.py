@@ -96,7 +96,7 @@ def client_dossier(spark, d):
     return R.client_dossier(docs(spark, d).withColumnsRenamed({"recipient_eik": "client", "payment_method": "account"}))
 
 
-@query("E22_transfer_batch_totals", DOCS + " SELECT invoice_id // 150 AS batch, count(*) AS n, sum(tax_base)::DECIMAL(18,2) AS tax_base, sum(vat)::DECIMAL(18,2) AS vat, sum(total)::DECIMAL(18,2) AS total, string_agg(invoice_id::VARCHAR, ',' ORDER BY invoice_id) AS numbers FROM docs WHERE tax_base IS NOT NULL GROUP BY 1")
+@query("E22_transfer_batch_totals", DOCS + ", b AS (SELECT (row_number() OVER (ORDER BY invoice_id) - 1) // 150 AS batch, * FROM docs WHERE tax_base IS NOT NULL) SELECT batch, count(*) AS n, sum(tax_base)::DECIMAL(18,2) AS tax_base, sum(vat)::DECIMAL(18,2) AS vat, sum(total)::DECIMAL(18,2) AS total, string_agg(invoice_id::VARCHAR, ',' ORDER BY invoice_id) AS numbers FROM b GROUP BY 1")
 def transfer_batch_totals(spark, d):
     return R.transfer_batch_totals(docs(spark, d))
 
@@ -118,8 +118,10 @@ def ocr_confidence(spark, d):
 
 
 @query("E25_pass_score", TOK + """, two AS (SELECT *, 1 AS pass FROM tokens UNION ALL SELECT * REPLACE ((i * 53 % 101) AS conf), 2 FROM tokens),
-g AS (SELECT doc_id, page, pass, round(0.4::DOUBLE * avg(conf) + 30 * avg((conf >= 80)::INT) + 0.2::DOUBLE * least(sum(length(text)) / 10, 50), 4) AS score FROM two GROUP BY ALL)
-SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY score DESC, pass) = 1 AS best FROM g""")
+g AS (SELECT doc_id, page, pass, avg(conf) FILTER (conf > 0) AS mean, avg((conf >= 80)::INT) FILTER (conf > 0) AS share, sum(length(text)) AS chars, lower(string_agg(text, ' ' ORDER BY i)) AS t FROM two GROUP BY ALL),
+s AS (SELECT doc_id, page, pass, CASE WHEN mean IS NULL THEN 0 ELSE round(0.4::DOUBLE * mean + 30 * share + 0.2::DOUBLE * least(chars / 10, 50) + CASE WHEN regexp_matches(t, '[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(t, '[0-9]{3,}') THEN 2 ELSE 0 END
+  + CASE WHEN regexp_matches(t, 'фактура|invoice|доставчик|получател|данъчна основа|ддс|общо') THEN 5 ELSE 0 END, 4) END AS score FROM g)
+SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY score DESC, pass) = 1 AS best FROM s""")
 def pass_score(spark, d):
     one = A.tokens(spark, d).withColumn("pass", F.lit(1))
     return R.pass_score(one.unionByName(one.withColumns({"pass": F.lit(2), "conf": F.col("i") * 53 % 101})))
@@ -136,9 +138,12 @@ def partner_sync_report(spark, d):
     return R.partner_sync_report(A.table(spark, d, "events").select(code.alias("code")))
 
 
-@query("F01_sequence_gaps", "WITH n AS (SELECT DISTINCT o_custkey, o_orderkey FROM orders), g AS (SELECT o_custkey, o_orderkey AS k, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nx FROM n) SELECT o_custkey, k + 1 AS gap_from, nx - 1 AS gap_to, nx - k - 1 AS n_missing FROM g WHERE nx > k + 1")
+@query("F01_sequence_gaps", """WITH a AS (SELECT DISTINCT l_orderkey, l_linenumber::BIGINT AS k FROM lineitem), o AS (SELECT l_orderkey, count(*) AS n, min(k) AS min, max(k) AS max FROM a GROUP BY 1),
+m AS (SELECT l_orderkey, i FROM (SELECT l_orderkey, unnest(range(1, n + 1)) AS i FROM o) x WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.l_orderkey = x.l_orderkey AND a.k = x.i)),
+r AS (SELECT l_orderkey, min(i) AS gap_from, max(i) AS gap_to, count(*) AS n_missing FROM (SELECT *, i - row_number() OVER (PARTITION BY l_orderkey ORDER BY i) AS run FROM m) GROUP BY l_orderkey, run)
+SELECT o.*, gap_from, gap_to, n_missing FROM o LEFT JOIN r USING (l_orderkey)""")
 def sequence_gaps(spark, d):
-    return R.sequence_gaps(A.table(spark, d, "orders"), "o_custkey", "o_orderkey")
+    return R.sequence_gaps(A.table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
 
 
 @query("F02_subdocuments", "WITH p AS (SELECT conv_id AS doc, turn AS page, role AS category, length(text) AS confidence FROM conversations), n AS (SELECT *, CASE WHEN category IS NOT DISTINCT FROM lag(category) OVER w AND lag(page) OVER w IS NOT NULL THEN 0 ELSE 1 END AS new FROM p WINDOW w AS (PARTITION BY doc ORDER BY page)), r AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY page)::BIGINT AS run FROM n) SELECT doc, run, category, min(page) AS first_page, max(page) AS last_page, max(confidence)::INT AS confidence FROM r GROUP BY ALL")
