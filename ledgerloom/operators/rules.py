@@ -243,7 +243,7 @@ def check_ocr_confidence(conf: DataFrame) -> DataFrame:
 # H10
 def check_bank(df: DataFrame) -> DataFrame:
     iban = F.col("iban")
-    return issues(df, "invoice_id", [("INVALID_IBAN_FORMAT", "ERROR", iban.isNotNull() & S.normalize_iban(iban).isNull()), ("INVALID_IBAN_MOD97", "ERROR", S.normalize_iban(iban).isNotNull() & ~S.iban_mod97(iban)), ("MISSING_IBAN_FOR_BANK_TRANSFER", "WARNING", (F.col("payment_method") == "BANK") & iban.isNull())])
+    return issues(df, "invoice_id", [("INVALID_IBAN_FORMAT", "error", iban.isNotNull() & S.normalize_iban(iban).isNull()), ("INVALID_IBAN_MOD97", "error", S.normalize_iban(iban).isNotNull() & ~S.iban_mod97(iban)), ("MISSING_IBAN_FOR_BANK_TRANSFER", "warning", (F.col("payment_method") == "BANK") & iban.isNull())])
 
 
 # H13
