@@ -1,12 +1,17 @@
 """Jaccard join on word shingles as a blocked sparse matrix product.
 
-The documents are rows, the distinct shingles columns of a 0/1 matrix; overlaps are the entries of
+The distinct sets of shingles are rows, the shingles columns of a 0/1 matrix; overlaps are the entries of
 its product with its transpose. Columns are ordered from rare to common, so a pair that is similar
 enough must meet in the first columns of both rows (each row's prefix, from the size bound), and
-the place of a meeting bounds the overlap that is still possible. Only these columns are multiplied.
-Equal sets are one row. Within a column, all rows are first multiplied with one hub; rows that a
-link already connects need no further product, so a group of near copies costs a product each
-and not one for each pair. Products that may still link two components follow, column by column.
+the place of a meeting bounds the overlap that is still possible. Prefix columns are dealt to blocks by
+hash and multiplied there: all rows of a column with one hub, so a group of near copies costs a product
+each and not one for each pair. Pairs that the bounds leave have their remaining columns multiplied block
+by block; the blocks' overlaps are added up and pairs below the size bound discarded. Rows that a link
+already connects need no further product; products that may still link two components follow, column by
+column.
+
+Equal sets are one row. A row's number is 64 bits of its set's 128-bit hash; sets that differ in the other
+64 bits are told apart (``_renamed``).
 """
 
 from __future__ import annotations
@@ -16,20 +21,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, ships, stored, summed, text_or_empty
+from .common import NO_ID, Scratch, keyed, ships, small, summed, text_or_empty
 
 ships(__name__)
 
 #: Words in a shingle, and similarity in per cent.
 SHINGLE, PERCENT = 5, 80
-#: Counters that estimate how common a column is; only the order of columns depends on them.
+#: Counters that estimate how common a column is; the order of columns and the salting of hot ones depend on them, results don't.
 COUNTERS = 1 << 20
-#: Bits of the filters that keep rows without partners out of the shuffles.
-FILTER_BITS = 1 << 25
-_CHUNK = 1 << 16
+#: Salts of a hot column, and columns of a block of a long row.
+SALTS, BLOCK = 64, 4096
+#: Keys of documents whose sets are made again are broadcast up to so many.
+MAX_BROADCAST_ROWS = 1_000_000
+_CHUNK = 1 << 12
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _CACHE = 1 << 19
 
@@ -76,17 +83,19 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def _signature(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)) - (1 << 63)
+def _halves(s: np.ndarray, bits: int) -> tuple[int, int]:
+    """Two signed 64-bit halves of the set's hash; the first cut to ``bits`` (tests only)."""
+    h = xxhash.xxh3_128_intdigest(s.tobytes(), seed=len(s))
+    return (h & ((1 << bits) - 1)) - ((1 << 63) if bits == 64 else 0), (h >> 64) - (1 << 63)
 
 
-def _pandas(docs: DataFrame, run, schema: str) -> DataFrame:
-    return docs.where("doc_id IS NOT NULL").select("doc_id", text_or_empty().alias("text")).mapInPandas(run, schema)
+def _texts(docs: DataFrame) -> DataFrame:
+    return keyed(docs.select("doc_id", text_or_empty().alias("text")))
 
 
-def rows_and_counts(docs: DataFrame, k: int = SHINGLE, counters: int = COUNTERS) -> tuple[DataFrame, np.ndarray]:
-    """From one pass: doc_id, n (set size) and row (hash of the set, null if empty) of each document; and
-    how common each column is, as a class from 0 (rare) to 255 by the logarithm of its counter."""
+def rows_and_counts(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, counters: int = COUNTERS, bits: int = 64) -> tuple[DataFrame, np.ndarray]:
+    """From one pass: doc_id, id0, th, n (set size), row and other (halves of the set's hash, null if empty) of each
+    document, stored; and an upper estimate of how many rows hold a column, by the last bits of its hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         make, total = Shingler(k), np.zeros(counters, dtype=np.uint32)
@@ -94,175 +103,274 @@ def rows_and_counts(docs: DataFrame, k: int = SHINGLE, counters: int = COUNTERS)
             sets = [make(t) for t in pdf["text"]]
             if sets:
                 total += np.bincount((np.concatenate(sets) & np.uint64(counters - 1)).astype(np.int64), minlength=counters).astype(np.uint32)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(s) for s in sets], "row": pd.array([_signature(s) if len(s) else None for s in sets], "Int64"), "i": pd.array([None] * len(pdf), "Int32"), "b": None})
+            halves = [_halves(s, bits) if len(s) else (None, None) for s in sets]
+            yield pd.DataFrame({
+                "doc_id": pd.array(pdf["doc_id"], "Int64"), "id0": pdf["id0"], "th": pdf["th"], "n": [len(s) for s in sets],
+                "row": pd.array([h[0] for h in halves], "Int64"), "other": pd.array([h[1] for h in halves], "Int64"), "i": pd.array([None] * len(pdf), "Int32"), "b": None,
+            })
         for i in range(0, counters, _CHUNK):
-            yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n": pd.array([None], "Int64"), "row": pd.array([None], "Int64"), "i": [i // _CHUNK], "b": [total[i : i + _CHUNK].astype(np.uint64).tobytes()]})
+            if (part := total[i : i + _CHUNK]).any():
+                yield pd.DataFrame({c: pd.array([None], "Int64") for c in ("doc_id", "id0", "th", "n", "row", "other")} | {"i": [i // _CHUNK], "b": [part.astype(np.uint64).tobytes()]})
 
-    both = stored(_pandas(docs, run, "doc_id long, n long, row long, i int, b binary"), "jaccard-rows")
+    both = scratch.put("rows", _texts(docs).mapInPandas(run, "doc_id long, id0 long, th long, n long, row long, other long, i int, b binary"))
     out = np.zeros(counters, dtype=np.uint64)
     for i, b in summed(both.where("i IS NOT NULL").select("i", "b"), "uint64").items():
-        out[i * _CHUNK : (i + 1) * _CHUNK] = np.frombuffer(b, dtype=np.uint64)
-    return both.where("i IS NULL").select("doc_id", "n", "row"), np.minimum(6 * np.log2(out.astype(np.float64) + 1), 255).astype(np.uint8)
+        out[i * _CHUNK : i * _CHUNK + _CHUNK] = np.frombuffer(b, dtype=np.uint64)
+    return both.where("i IS NULL").drop("i", "b"), out
 
 
-def _bit(keys: np.ndarray, bits: int) -> np.ndarray:
-    return ((keys.astype(np.int64).view(np.uint64) * _MULT >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
-
-
-def bit_filter(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """keys: one long column ``key``. A bitmap of fixed size with the bit of each key set."""
-    step = bits // 8 // 64
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flags = np.zeros(bits, dtype=bool)
-        for pdf in batches:
-            flags[_bit(pdf["key"].to_numpy(), bits)] = True
-        packed = np.packbits(flags, bitorder="little")
-        for i in range(64):
-            if (part := packed[i * step : (i + 1) * step]).any():
-                yield pd.DataFrame({"i": [i], "b": [part.tobytes()]})
-
-    packed = np.zeros(bits // 8, dtype=np.uint8)
-    for i, b in summed(keys.mapInPandas(run, "i int, b binary"), "uint8", "bitwise_or").items():
-        packed[i * step : (i + 1) * step] = np.frombuffer(b, dtype=np.uint8)
-    return packed
+def _renamed(rows: DataFrame) -> dict[tuple[int, int], int]:
+    """(row, other) of sets that share 64 bits with another set, with a number of their own.
 
+    Of n sets, about n * n / 2**65 pairs are expected: none below a billion sets, some hundred at 1e11.
+    """
+    twice = rows.where("row IS NOT NULL").groupBy("row").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi").select("row")
+    pairs = rows.join(twice, "row").select("row", "other").distinct().collect()
+    return {(r["row"], r["other"]): xxhash.xxh3_64_intdigest(f"{r['row']}/{r['other']}".encode()) - (1 << 63) for r in pairs}
 
-def may_hold(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """True for every key of the filter, and for a few others."""
-    at = _bit(keys, 8 * len(packed))
-    return (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
+def prefixes(docs: DataFrame, shared, k: int = SHINGLE, percent: int = PERCENT, bits: int = 64) -> DataFrame:
+    """col, salt, row, n, pos: the columns of each row's prefix, once a task. shared: broadcast (classes, hot, renamed).
 
-def prefixes(docs: DataFrame, counts, k: int = SHINGLE, percent: int = PERCENT, only=None) -> DataFrame:
-    """col, row, n, pos: the columns of each row's prefix. counts, only: broadcast; only: columns that may be kept."""
+    Columns that may be held by more rows than a task should see are salted; salt is -1 for all others.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        make, table, keep = Shingler(k), counts.value, only.value if only is not None else None
-        last = np.uint64(len(table) - 1)
+        make, (classes, hot, renamed) = Shingler(k), shared.value
+        last, seen = np.uint64(len(classes) - 1), set()
         for pdf in batches:
-            cols, rows, ns, poss = [], [], [], []
+            cols, salts, rows, poss = [], [], [], []
             for text in pdf["text"]:
                 s = make(text)
                 if not len(s):
                     continue
+                halves = _halves(s, bits)
+                row = renamed.get(halves, halves[0])
+                if row in seen:
+                    continue
+                if len(seen) > _CACHE:
+                    seen.clear()
+                seen.add(row)
                 p = prefix_size(len(s), percent)
-                order = (table[(s & last).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
-                first = np.argpartition(order, p - 1)[:p] if p < len(s) else np.arange(len(s))
-                first = first[np.argsort(order[first])]
-                got, pos = s[first].view(np.int64), np.arange(p)
-                if keep is not None:
-                    hit = may_hold(keep, got)
-                    got, pos = got[hit], pos[hit]
-                cols.append(got)
-                poss.append(pos)
-                rows.append((_signature(s), len(s), len(got)))
+                at = (s & last).astype(np.int64)
+                first = np.argsort(classes[at], kind="stable")[:p]  # s is in order of hash
+                cols.append(s[first].view(np.int64))
+                salts.append(np.where(hot[at[first]], xxhash.xxh3_64_intdigest(str(row)) % SALTS, -1))
+                poss.append(np.arange(p))
+                rows.append((row, len(s), p))
             if cols:
                 sig, size, times = (np.array(x, dtype=np.int64) for x in zip(*rows))
-                yield pd.DataFrame({"col": np.concatenate(cols), "row": np.repeat(sig, times), "n": np.repeat(size, times), "pos": np.concatenate(poss)})
+                yield pd.DataFrame({"col": np.concatenate(cols), "salt": np.concatenate(salts), "row": np.repeat(sig, times), "n": np.repeat(size, times), "pos": np.concatenate(poss)})
+
+    return _texts(docs).select("text").mapInPandas(run, "col long, salt int, row long, n int, pos int")
 
-    return _pandas(docs, run, "col long, row long, n long, pos long")
 
+def multiplied(entries: DataFrame) -> DataFrame:
+    """entries, dealt by (col, salt) and sorted by pos and row there: each with its column's hub, the row with the fewest rarer columns.
 
-def sets_of(docs: DataFrame, wanted, k: int = SHINGLE) -> DataFrame:
-    """row, cols (array): the whole sets of documents whose doc_id may be wanted."""
+    Columns with one row are gone. A column's hub itself is given only where it is salted (hot), as its
+    other salts haven't met it. A task holds a batch and the running column's hub, whatever its length.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        make, keep = Shingler(k), wanted.value
+        last = None  # col, salt, row of the last entry, and its column's hub: row, n, pos
         for pdf in batches:
-            pdf = pdf[may_hold(keep, pdf["doc_id"].to_numpy())]
-            if not len(pdf):
+            col, salt, row, n, pos = (pdf[c].to_numpy(dtype=np.int64) for c in ("col", "salt", "row", "n", "pos"))
+            if not len(col):
                 continue
-            sets = [make(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "row": [_signature(s) if len(s) else 0 for s in sets], "cols": [s.view(np.int64) for s in sets]})
+            new = np.ones(len(col), dtype=bool)
+            new[1:] = (col[1:] != col[:-1]) | (salt[1:] != salt[:-1])
+            same = np.zeros(len(col), dtype=bool)
+            same[1:] = ~new[1:] & (row[1:] == row[:-1])
+            if last is not None and (col[0], salt[0]) == last[:2]:
+                new[0], same[0] = False, row[0] == last[2]
+            start = np.maximum.accumulate(np.where(new, np.arange(len(col)), -1))
+            own = [np.where(start >= 0, x[start], y) for x, y in zip((row, n, pos), last[3:] if last else (0, 0, 0))]
+            last = (col[-1], salt[-1], row[-1], *(int(x[-1]) for x in own))
+            out = ~same & (~new | (salt >= 0))
+            if out.any():
+                yield pd.DataFrame({"col": col, "row": row, "n": n, "pos": pos, "hub": own[0], "hub_n": own[1], "hub_pos": own[2], "hot": salt >= 0})[out]
+
+    return entries.repartition("col", "salt").sortWithinPartitions("col", "salt", "pos", "row").mapInPandas(run, "col long, row long, n int, pos int, hub long, hub_n int, hub_pos int, hot boolean")
+
+
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Whether rows that meet at x's and y's places can still have the overlap that their sizes ask for. x, y: column prefixes."""
+    need = f"ceil({percent} * ({x}n + {y}n) / {100 + percent})"
+    return F.expr(f"{x}n - {x}pos >= {need} AND {y}n - {y}pos >= {need} AND 100 * least({x}n, {y}n) >= {percent} * greatest({x}n, {y}n)")
 
-    return _pandas(docs, run, "doc_id long, row long, cols array<long>")
 
+def _pieces(n: int) -> int:
+    """Blocks of a row of n columns: a power of two, so that rows of like size have the same or twice as many."""
+    return 1 << max(0, (-(-n // BLOCK) - 1).bit_length())
 
-def overlaps(members: DataFrame, hubs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """members: hub, row, cols; hubs: row, cols. a, b: the pairs that link, by their sets' whole overlap."""
-    if (hubs.agg(F.sum(F.size("cols"))).first()[0] or 0) * 8 <= BROADCAST_BYTES:
-        hubs = F.broadcast(hubs)
-    both = members.join(hubs.select(F.col("row").alias("hub"), F.col("cols").alias("hub_cols")), "hub")  # adaptive execution splits hot hubs
-    both = both.withColumn("i", F.size(F.array_intersect("cols", "hub_cols")))
-    return both.where(100 * F.col("i") >= percent * (F.size("cols") + F.size("hub_cols") - F.col("i"))).select(F.col("hub").alias("a"), F.col("row").alias("b")).distinct()
 
+def sets_of(docs: DataFrame, wanted: DataFrame, shared, k: int = SHINGLE, percent: int = PERCENT, bits: int = 64) -> DataFrame:
+    """row, n, pieces, piece, cols (array): the whole sets of the documents known by wanted (id0, th), in blocks of columns.
 
-def components(links: DataFrame, rounds: int = 200) -> DataFrame:
+    A long row is given once more in the block count of rows up to 100 / ``percent`` times its size, if that differs.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        make, renamed = Shingler(k), shared.value[2]
+        for pdf in batches:
+            out = []
+            for text in pdf["text"]:
+                s = make(text)
+                halves = _halves(s, bits)
+                for pieces in sorted({_pieces(len(s)), _pieces(100 * len(s) // percent)}):
+                    cuts = np.searchsorted(s, np.array([(i << 64) // pieces for i in range(1, pieces)], dtype=np.uint64))
+                    out += [(renamed.get(halves, halves[0]), len(s), pieces, i, x.view(np.int64)) for i, x in enumerate(np.split(s, cuts))]
+            if out:
+                yield pd.DataFrame(out, columns=["row", "n", "pieces", "piece", "cols"])
+
+    return _texts(docs).join(small(wanted, MAX_BROADCAST_ROWS), ["id0", "th"]).select("text").mapInPandas(run, "row long, n int, pieces int, piece int, cols array<long>")
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """pairs: a, b. Those that link: overlaps are counted block by block, added up, and held against the size bound.
+
+    sets are dealt by row, once for both sides; a hub has no more members than a column's salt, so its sets meet them in one task.
+    """
+    side = lambda x: sets.select(F.col("row").alias(x), F.col("n").alias(f"{x}_n"), "pieces", "piece", F.col("cols").alias(f"{x}_cols"))
+    met = pairs.join(side("b"), "b").join(side("a").withColumnsRenamed({"pieces": "a_pieces", "piece": "a_piece"}), "a").where("pieces = a_pieces AND piece = a_piece")
+    blocks = met.select("a", "b", "a_n", "b_n", "pieces", F.size(F.array_intersect("a_cols", "b_cols")).alias("i"))
+    total = blocks.groupBy("a", "b", "a_n", "b_n", "pieces").agg(F.sum("i").alias("i"))
+    return total.where(100 * F.col("i") >= percent * (F.col("a_n") + F.col("b_n") - F.col("i"))).select("a", "b").distinct()
+
+
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """links: a, b. Returns row, label for every row that has a link: the smallest row reachable.
 
     Each round every row takes the smallest label among its neighbours', then the label of the row it
-    names (pointer jumping), until nothing changes.
+    names (pointer jumping). Labels only fall, so the rounds end.
     """
-    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    now = stored(both.groupBy(F.col("a").alias("row")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
-    for _ in range(rounds):
+    both = scratch.put("both", links.select("a", "b").union(links.select("b", "a")).distinct())
+    now = scratch.put("labels", both.groupBy(F.col("a").alias("row")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
+    while True:
         name = now.select(F.col("row").alias("b"), F.col("label").alias("l"))
         near = both.join(name, "b").groupBy(F.col("a").alias("row")).agg(F.min("l").alias("l"))
         step = now.join(near, "row", "left").select("row", F.least("label", "l").alias("new"), F.col("label").alias("was"))
         jump = now.select(F.col("row").alias("new"), F.col("label").alias("jump"))
-        now = stored(step.join(jump, "new", "left").select("row", F.least("new", "jump").alias("label"), "was"), "labels")
+        now = scratch.put("labels", step.join(jump, "new", "left").select("row", F.least("new", "jump").alias("label"), "was"))
         if now.where("label <> was").limit(1).count() == 0:
+            scratch.drop("both")
             return now.select("row", "label")
         now = now.select("row", "label")
-    raise RuntimeError(f"labels still change after {rounds} rounds")
-
-
-def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for each distinct doc_id."""
-    ship = docs.sparkSession.sparkContext.broadcast
-    rows, counts = rows_and_counts(docs, k)
-    counts = ship(counts)
-    # Columns that two different rows hold in their prefixes; all others are left out from here on.
-    twice = prefixes(docs, counts, k, percent).groupBy("col").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo <> hi")
-    shared = ship(bit_filter(twice.select(F.col("col").alias("key"))))
-    # Copies of a set give equal entries: one of each is left.
-    entries = stored(prefixes(docs, counts, k, percent, shared).groupBy("col", "row").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "entries")
-    # The hub of a column is the row that has the fewest rarer columns.
-    hubs = entries.groupBy("col").agg(F.min(F.struct("pos", "row", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    entries = entries.join(hubs.select("col", F.col("hub.row").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos")), "col")
-    entries = stored(entries, "entries")
-    need = f"ceil({percent} * (n + hub_n) / {100 + percent})"
-    first = entries.where(f"row <> hub AND n - pos >= {need} AND hub_n - hub_pos >= {need} AND 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
-    first = stored(first.select(F.col("hub").alias("a"), F.col("row").alias("b")).distinct(), "pairs")
-    links = _verified(docs, rows, first, k, percent)
-    named = _named(entries, components(links))
-    # What is left: rows that share a column but no component, of which at least one is outside the hub's.
-    x, y = named.where("comp <> hub_comp AND row <> hub").alias("x"), named.where("row <> hub").alias("y")
-    need = f"ceil({percent} * (x.n + y.n) / {100 + percent})"
-    rest = x.join(y, F.expr(f"x.col = y.col AND x.comp <> y.comp AND x.n - x.pos >= {need} AND y.n - y.pos >= {need} AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
-    rest = stored(rest.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct(), "pairs")
-    if rest.limit(1).count():
-        links = stored(links.union(_verified(docs, rows, rest, k, percent)), "links")
-    comp = rows.join(components(links), "row", "left").select("doc_id", "n", F.coalesce("label", "row").alias("comp"))
-    least = comp.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    out = comp.join(least, "comp", "left")
-    return out.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("least", "doc_id")).alias("component_id"))
-
-
-def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs that link. Only sets of rows in a pair are made again, and shuffled once, a copy for each pair."""
-    wanted = pairs.select(F.col("b").alias("row"), F.col("a").alias("hub")).union(pairs.select("a", F.lit(None).cast("long")).distinct())
-    one = rows.join(wanted.select("row").distinct(), "row").groupBy("row").agg(F.min("doc_id").alias("doc_id"))
-    wanted = stored(wanted.join(one, "row"), "wanted")
-    keys = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(F.col("doc_id").alias("key"))))
-    sets = stored(sets_of(docs, keys, k).join(wanted, ["doc_id", "row"]).select("row", "hub", "cols"), "sets")
-    return stored(overlaps(sets.where("hub IS NOT NULL"), sets.where("hub IS NULL").dropDuplicates(["row"]).select("row", "cols"), percent), "links")
-
-
-def _named(entries: DataFrame, comp: DataFrame) -> DataFrame:
-    """Entries with comp and hub_comp; a row without links is its own component."""
+
+
+def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, counters: int = COUNTERS, bits: int = 64) -> DataFrame:
+    """For each row of ``docs``: doc_id, id0, th, n_shingles, component_id, and first: of the component's documents
+    the one that stays (the smallest doc_id, nulls last; then by the text's hash); copies of it are first too. A stored table."""
+    with Scratch(docs.sparkSession) as scratch:
+        out = _linked(docs, scratch, k, percent, counters, bits)
+        scratch.keep("linked")
+        return out
+
+
+def _linked(docs: DataFrame, scratch: Scratch, k: int, percent: int, counters: int, bits: int) -> DataFrame:
+    spark = docs.sparkSession
+    rows, counts = rows_and_counts(docs, scratch, k, counters, bits)
+    renamed = _renamed(rows)
+    if renamed:
+        table = spark.createDataFrame([(*key, new) for key, new in renamed.items()], "row long, other long, new long")
+        rows = rows.join(F.broadcast(table), ["row", "other"], "left").withColumn("row", F.coalesce("new", "row")).drop("new")
+    key = F.struct((F.col("id0") == NO_ID).alias("none"), "id0", "th")
+    each = scratch.put("each", rows.where("row IS NOT NULL").groupBy("row").agg(F.min("doc_id").alias("least"), F.min(key).alias("key")))
+    # A column that more rows may hold than a quarter of what a task gets is hot.
+    task = (rows.agg(F.sum("n")).first()[0] or 0) * (100 - percent) // 100 // int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = spark.sparkContext.broadcast((np.minimum(6 * np.log2(counts.astype(np.float64) + 1), 255).astype(np.uint8), counts > max(64, task // 4), renamed))
+    entries = scratch.put("entries", multiplied(prefixes(docs, shared, k, percent, bits)))
+    pairs = entries.where("row <> hub").where(_may_link("", "hub_", percent)).select(F.col("hub").alias("a"), F.col("row").alias("b"))
+    hubs = entries.where("hot AND row = hub").groupBy("col").agg(F.min(F.struct("pos", "row", "n")).alias("top")).select("col", F.col("top.row").alias("top"), F.col("top.n").alias("top_n"), F.col("top.pos").alias("top_pos"))
+    tops = entries.where("hot AND row = hub").join(hubs, "col").where("row <> top").where(_may_link("", "top_", percent)).select(F.col("top").alias("a"), F.col("row").alias("b"))
+    # met: how many prefix columns a pair was multiplied in. Each row's own best hub comes first; hubs that these links reach need no product.
+    one = pairs.union(tops).groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("a").alias("a"), F.count("*").alias("met"))
+    pairs = scratch.put("pairs", one.select("x", "y", "a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"), "met"))
+    best = scratch.put("tried", pairs.groupBy("b").agg(F.max(F.struct("met", "a")).alias("best")).select("best.a", "b"))
+    links = scratch.put("links", _verified(docs, each, best, shared, scratch, k, percent, bits))
+    comp = components(links, scratch)
     of = lambda c, name: comp.select(F.col("row").alias(c), F.col("label").alias(name))
-    out = entries.join(of("row", "comp"), "row", "left").join(of("hub", "hub_comp"), "hub", "left")
-    return stored(out.select("col", "row", "n", "pos", "hub", F.coalesce("comp", "row").alias("comp"), F.coalesce("hub_comp", "hub").alias("hub_comp")), "named")
+    more = pairs.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).join(best, ["a", "b"], "left_anti")
+    more = scratch.put("more", more.select("a", "b"))
+    if more.limit(1).count():
+        links = scratch.put("links", links.union(_verified(docs, each, more, shared, scratch, k, percent, bits)))
+        comp = components(links, scratch)
+    scratch.drop("tried", "more")
+    # What is left: rows that share a column but no component, of which at least one is outside the hub's. First each meets, of every
+    # other component in the column, the one row with the fewest rarer columns; then, where that brought no link, all of its rows.
+    top = hubs.select("col", "top")
+    scratch.drop("links")
+    entries = scratch.put("named", entries.join(top, "col", "left").select("col", "row", "n", "pos", F.coalesce("top", "hub").alias("hub")))
+    scratch.drop("entries")
+    links, tested = scratch.put("links", comp.select(F.col("row").alias("a"), F.col("label").alias("b")).where("a <> b")), pairs.select("x", "y")
+    for last in (False, True):
+        named = scratch.put("left", _outside(entries, comp))
+        x, y = (named.select("col", *(F.col(c).alias(f"{p}_{c}") for c in ("row", "n", "pos", "comp", "out"))) for p in "xy")
+        if not last:
+            y = y.groupBy("col", "y_comp").agg(F.min(F.struct("y_pos", "y_row", "y_n")).alias("r")).select("col", "y_comp", "r.*")
+        rest = x.where("x_out").join(y, "col").where("x_comp <> y_comp").where(_may_link("x_", "y_", percent))
+        rest = rest.groupBy(F.least("x_row", "y_row").alias("x"), F.greatest("x_row", "y_row").alias("y")).agg(F.count("*").alias("met")).join(tested, ["x", "y"], "left_anti")
+        rest = scratch.put("rest", rest.select("x", "y", F.col("x").alias("a"), F.col("y").alias("b")))
+        if rest.limit(1).count():
+            links = scratch.put("links", links.union(_verified(docs, each, rest, shared, scratch, k, percent, bits)))
+            comp = components(links, scratch)
+            tested = scratch.put("tested", tested.union(rest.select("x", "y")))
+    scratch.drop("named", "left", "rest", "pairs", "tested")
+    return _named(rows, each, comp, scratch)
+
+
+def _outside(entries: DataFrame, comp: DataFrame) -> DataFrame:
+    """entries with comp (the row's component, else itself) and out (it isn't the hub's); only columns that hold a row outside."""
+    of = lambda c, name: comp.select(F.col("row").alias(c), F.col("label").alias(name))
+    named = entries.join(of("row", "comp"), "row", "left").join(of("hub", "hub_comp"), "hub", "left")
+    named = named.select("col", "row", "n", "pos", F.coalesce("comp", "row").alias("comp"), (F.coalesce("comp", "row") != F.coalesce("hub_comp", "hub")).alias("out"))
+    return named.join(named.where("out").select("col").distinct(), "col", "left_semi")
+
+
+def _verified(docs: DataFrame, each: DataFrame, pairs: DataFrame, shared, scratch: Scratch, k: int, percent: int, bits: int) -> DataFrame:
+    """The pairs that link. Only sets of rows in a pair are made again, each from one of its documents."""
+    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    wanted = scratch.put("wanted", each.join(wanted, "row").select("key.id0", "key.th"))
+    sets = sets_of(docs, wanted, shared, k, percent, bits).repartition("row").dropDuplicates(["row", "pieces", "piece"])
+    return overlaps(pairs.select("a", "b"), sets, percent)
+
+
+def _named(rows: DataFrame, each: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
+    """The result of ``linked``. Copies are one row before components are joined, so a large group is no task's."""
+    labelled = each.join(comp, "row", "left").select("row", F.coalesce("label", "row").alias("label"), "least", "key")
+    groups = scratch.put("groups", labelled.groupBy("label").agg(F.min("least").alias("least"), F.min("key").alias("key")))
+    of_row = scratch.put("of_row", labelled.select("row", "label").join(groups, "label").select("row", "least", "key"))
+    out = rows.join(of_row, "row", "left")
+    first = F.col("row").isNull() | ((F.col("key.id0") == F.col("id0")) & (F.col("key.th") == F.col("th")))
+    return scratch.put("linked", out.select("doc_id", "id0", "th", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), first.alias("first")))
+
+
+def without_copies(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Of each group of linked documents the one that ``linked`` calls first; rows equal in doc_id and text stay once.
+
+    Documents without shingles all stay. All columns of ``docs`` are kept.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        found = _linked(docs, scratch, k, percent, COUNTERS, 64)
+        gone = scratch.put("gone", found.where("NOT first").select("id0", "th").distinct())
+        twice = scratch.put("twice", found.where("first AND n_shingles > 0").groupBy("id0", "th").agg(F.count("*").alias("times")).where("times > 1").select("id0", "th"))
+        scratch.keep("gone")
+        scratch.keep("twice")
+    on = lambda t: t.select(F.col("id0").alias("__id0"), F.col("th").alias("__th"))
+    kept = keyed(docs, "__").join(small(on(gone), MAX_BROADCAST_ROWS), ["__id0", "__th"], "left_anti")
+    if twice.limit(1).count():
+        again = small(on(twice), MAX_BROADCAST_ROWS)
+        kept = kept.join(again, ["__id0", "__th"], "left_anti").unionByName(kept.join(again, ["__id0", "__th"], "left_semi").dropDuplicates(["__id0", "__th"]))
+    return kept.select(*docs.columns)
 
 
 def op9_jaccard_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every document.
+    """doc_id, n_shingles, component_id for every row of ``docs``.
 
-    Null and empty texts have no shingles and stand alone. Texts of under five words are one shingle.
-    Rows that share a doc_id are one document if their texts are equal; if not, the larger set's size
-    is given, and the smaller component. Rows with a null doc_id are left out of the join and returned
-    with nulls. An empty table gives no rows.
+    Null and empty texts have no shingles and stand alone. Texts of under five words are one shingle. Each
+    row has the size of its own text's set, also where rows share a doc_id or have none. component_id is
+    the smallest doc_id of the component, so null where none of its documents has one. An empty table gives
+    no rows.
     """
-    return docs.select("doc_id").join(linked(docs), "doc_id", "left")
+    return linked(docs).select("doc_id", "n_shingles", "component_id")

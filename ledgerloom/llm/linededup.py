@@ -1,9 +1,9 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
-Every line key that has been seen is kept in runs: tables bucketed and sorted by hash. A batch of
-documents is merge-anti-joined with the runs (an equal bucketing, so the runs are not shuffled),
-and its new keys become a run of level 0. When a level holds ``fanout`` runs, they are merged into
-one run of the next level, so a key is rewritten about log(batches) times.
+Every line key that has been seen is kept in runs: tables bucketed and sorted by hash, one file a bucket. A
+batch's keys are dealt and sorted in the same way and merge-joined with the runs, which are neither shuffled
+nor sorted again; its new keys (those the join finds in no run) become a run of level 0. When a level holds
+``fanout`` runs, they are merged into one run of the next level, so a key is rewritten about log(batches) times.
 """
 
 from __future__ import annotations
@@ -12,14 +12,16 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
+from operator import or_
 
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ships, stored, text_or_empty
+from .common import Scratch, ships, text_or_empty, tidy
 
 ships(__name__)
 
@@ -59,38 +61,61 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, h1 long, h2 long")
 
 
+@contextmanager
+def _in_order(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark trusts that a bucket of one file is sorted as it was written."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    was = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 class LineRuns:
-    """The levelled runs. State is the list of tables; each is written once and never changed."""
+    """The levelled runs. State is the list of tables; each is written once and never changed. Used in a ``with``, they go at its end."""
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 2):
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
+        self.scratch = Scratch(spark)
+
+    def __enter__(self) -> LineRuns:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def _write(self, keys: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        keys.repartition(self.buckets, "h1").write.bucketBy(self.buckets, "h1").sortBy("h1").saveAsTable(name)
+        with tidy(self.spark):
+            keys.repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name)
         return name
 
     def tables(self) -> list[DataFrame]:
         return [self.spark.table(t) for level in self.levels for t in level]
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """batch: doc_id, h1, h2. Returns the pairs that repeat an earlier line; their keys and all new ones are then held.
+    def marked(self, batch: DataFrame) -> DataFrame:
+        """A row for each of the batch's keys: h1, h2, owner and last (the smallest and largest doc_id), and old (a run holds it)."""
+        out, flags = batch.groupBy(*KEY).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")), []
+        for i, run in enumerate(self.tables()):
+            flags.append(F.col(f"in{i}").isNotNull())
+            out = out.join(run.withColumn(f"in{i}", F.lit(True)), KEY, "left")
+        return out.select(*KEY, "owner", "last", reduce(or_, flags, F.lit(False)).alias("old"))
+
+    def add(self, batch: DataFrame, label: str = "drops") -> DataFrame:
+        """batch: doc_id, h1, h2. Returns the pairs that repeat an earlier line, stored; their keys and all new ones are then held.
 
         In a batch the smallest doc_id holds a line; between batches the earlier one.
         """
-        firsts = batch.groupBy(*KEY).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-        new, old = firsts, []
-        for run in self.tables():
-            old.append(new.join(run, KEY, "left_semi"))
-            new = new.join(run, KEY, "left_anti")
+        with _in_order(self.spark):
+            state = self.scratch.put("state", self.marked(batch))
         # (h1, h2, owner or null if an earlier batch holds the line): only keys with lines to drop
-        inside = new.where("owner < last").select(*KEY, "owner")
-        held = reduce(DataFrame.unionByName, [inside, *(o.select(*KEY, F.lit(None).cast("long").alias("owner")) for o in old)])
-        drop = batch.join(held, KEY).where("owner IS NULL OR doc_id > owner").select("doc_id", *KEY)
-        self.levels[0].append(self._write(new.select(*KEY)))
-        drop = stored(drop, "line-drops")
+        held = self.scratch.put("held", state.where("old OR owner < last").select(*KEY, F.when(~F.col("old"), F.col("owner")).alias("owner")))
+        drop = self.scratch.put(label, batch.join(held, KEY).where("owner IS NULL OR doc_id > owner").select("doc_id", *KEY))
+        self.levels[0].append(self._write(state.where("NOT old").select(*KEY)))
         self._compact()
         return drop
 
@@ -111,6 +136,7 @@ class LineRuns:
             for t in level:
                 self.spark.sql(f"DROP TABLE {t}")
         self.levels = [[]]
+        self.scratch.drop(*list(self.scratch.paths))
 
 
 def without_lines(docs: DataFrame, drops: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -147,19 +173,18 @@ def _shown(h: bytes) -> str:
 def dedup(docs: DataFrame, batches: int = 4, min_chars: int = MIN_CHARS) -> DataFrame:
     """Feeds ``docs`` to new runs in ``batches`` ranges of doc_id, lowest first, and cuts the texts."""
     spark = docs.sparkSession
-    keys = stored(line_hashes(docs, min_chars), "line-keys")
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    runs, drops = LineRuns(spark), []
-    if low is not None:
-        step = (high - low) // batches + 1
-        for i in range(batches):
-            start = low + i * step
-            part = keys.where((F.col("doc_id") >= start) & (F.col("doc_id") < start + step))
-            drops.append(runs.add(part))
-    runs.close()
-    if not drops:
-        drops = [keys]
-    return without_lines(docs, reduce(DataFrame.unionByName, drops), min_chars)
+    with Scratch(spark) as scratch, LineRuns(spark) as runs:
+        keys = scratch.put("line-keys", line_hashes(docs, min_chars))
+        low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+        drops = [keys.where("false")]
+        if low is not None:
+            step = (high - low) // batches + 1
+            for i in range(batches):
+                start = low + i * step
+                drops.append(runs.add(keys.where((F.col("doc_id") >= start) & (F.col("doc_id") < start + step)), f"drops-{i}"))
+        all_drops = scratch.put("all-drops", reduce(DataFrame.unionByName, drops))
+        scratch.keep("all-drops")
+    return without_lines(docs, all_drops, min_chars)
 
 
 def op3_line_dedup(docs: DataFrame) -> DataFrame:
