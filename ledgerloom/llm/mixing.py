@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import NO_ID, keyed, small, stored, text_or_empty
 
 LEVELS = ("domain", "lang", "source")
 #: Parts of a leaf's order; a leaf of any size is ranked in this many pieces.
@@ -87,19 +87,19 @@ def leaf_budgets(leaves: DataFrame, budget: Column, weights: Mapping[str, Mappin
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, the levels and n_tokens of each row, read from the texts once and stored."""
+    """doc_id, th (hash of the text), the levels and n_tokens of each row, read from the texts once and stored."""
     if "domain" not in docs.columns:
         docs = docs.withColumn("domain", domain_of(F.col("source")))
-    return stored(docs.select("doc_id", *LEVELS, tokens(F.col("text")).alias("n_tokens")), "mix-tokens")
+    return stored(docs.select("doc_id", F.xxhash64(text_or_empty()).alias("th"), *LEVELS, tokens(F.col("text")).alias("n_tokens")), "mix-tokens")
 
 
 def mix(slim: DataFrame, share: tuple[int, int] = (1, 2), weights: Mapping[str, Mapping[str, int]] | None = None, epochs: int = 2, seed: int = 1) -> DataFrame:
-    """slim: doc_id, the levels, n_tokens. Adds leaf_budget and copies.
+    """slim: doc_id, th, the levels, n_tokens. Adds leaf_budget and copies.
 
     The budget is ``share`` of all tokens. A leaf of budget b and n tokens gives b div n whole epochs,
     and of the next epoch, in the order of md5(seed:epoch:doc_id), the shortest prefix of documents
     that reaches b mod n tokens; so each leaf takes its budget and less than one document more.
-    Documents of a leaf without tokens are taken once. Nulls in a level are a child of their own.
+    Documents without doc_id are ordered by their text's hash. Documents of a leaf without tokens are taken once. Nulls in a level are a child of their own.
     """
     leaves = slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("leaf_tokens"))
     total = F.expr(f"coalesce((sum(leaf_tokens) * {share[0]}) div {share[1]}, 0)")
@@ -110,7 +110,7 @@ def mix(slim: DataFrame, share: tuple[int, int] = (1, 2), weights: Mapping[str,
     plan = stored(plan, "mix-leaves")
     if plan.limit(MAX_BROADCAST_LEAVES + 1).count() <= MAX_BROADCAST_LEAVES:
         plan = F.broadcast(plan)
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.hex("th")))))
     return select_prefix(slim.join(plan, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in LEVELS]).withColumn("at", order))
 
 
@@ -121,13 +121,13 @@ def select_prefix(ranked: DataFrame) -> DataFrame:
     the ranges' totals are added before it, so a leaf of any size is never one task's.
     """
     keys = [f"k_{c}" for c in LEVELS]
-    ranked = ranked.withColumns({k: F.coalesce(F.col(k), F.lit("\0")) for k in keys} | {"part": F.conv(F.substring("at", 1, 3), 16, 10).cast("int")})
+    ranked = ranked.withColumns({k: F.coalesce(F.concat(F.lit("="), F.col(k)), F.lit("")) for k in keys} | {"part": F.conv(F.substring("at", 1, 3), 16, 10).cast("int")})
     sums = ranked.groupBy(*keys, "part").agg(F.sum("n_tokens").alias("part_tokens"))
     sums = sums.withColumn("start", F.sum("part_tokens").over(W.partitionBy(*keys).orderBy("part")) - F.col("part_tokens")).drop("part_tokens")
-    inner = W.partitionBy(*keys, "part").orderBy("at", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    inner = W.partitionBy(*keys, "part").orderBy("at", "doc_id", "th").rowsBetween(W.unboundedPreceding, 0)
     out = ranked.withColumn("upto", F.sum("n_tokens").over(inner)).join(sums, [*keys, "part"])
     first = F.col("start") + F.col("upto") - F.col("n_tokens")
-    return out.select("doc_id", *LEVELS, "n_tokens", "leaf_budget", (F.col("whole") + F.when(first < F.col("rest"), 1).otherwise(0)).cast("long").alias("copies"))
+    return out.select("doc_id", "th", *LEVELS, "n_tokens", "leaf_budget", (F.col("whole") + F.when(first < F.col("rest"), 1).otherwise(0)).cast("long").alias("copies"))
 
 
 #: Weights of the registered query; what isn't named weighs 1.
@@ -140,7 +140,15 @@ def op1_mixing(docs: DataFrame, share: tuple[int, int] = (1, 2), weights=WEIGHTS
     Null texts have no tokens. Rows that share a doc_id are counted and taken one by one. An empty
     table gives no rows.
     """
-    return mix(measured(docs), share, weights, epochs, seed)
+    return mix(measured(docs), share, weights, epochs, seed).drop("th")
+
+
+def taken(docs: DataFrame, share: tuple[int, int], weights=WEIGHTS, epochs: int = 1, seed: int = 1) -> DataFrame:
+    """The documents of the mix with all their columns, each as often as it is taken; rows equal in doc_id and text all as often as the one taken most."""
+    got = mix(measured(docs), share, weights, epochs, seed).where("copies > 0")
+    one = got.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id0"), F.col("th").alias("__th")).agg(F.max("copies").alias("__copies"))
+    kept = keyed(docs, "__").join(small(stored(one, "mix-taken"), MAX_BROADCAST_LEAVES), ["__id0", "__th"])
+    return kept.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
 
 
 def op1_oracle(share=(1, 2), weights=WEIGHTS, epochs: int = 2, seed: int = 1) -> str:
