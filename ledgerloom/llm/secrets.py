@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that adds to them.
 
 Each line is a chain of words tagged outside, begin or inside. A word's score comes from its own
-shape, its neighbours' shapes and features of the whole document; a tag's from the tag before. The
-weights are trained on lines that the patterns label; Viterbi decoding runs over all lines of a batch
-side by side.
+shape, its neighbours' shapes and features of the whole document; a tag's from the tag before. A shape
+has parts (hint word, end mark, characters, length) that are weighed alone and together, so a mix never seen
+in training still has a score. The weights are trained on lines that the patterns label, and on copies of
+these with the patterns' own giveaways masked (``masked``), so that the field also finds what the patterns
+don't know. Viterbi decoding runs over all lines of a batch side by side.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ships, stored, text_or_empty
+from .common import Scratch, ships, text_or_empty
 
 ships(__name__)
 
@@ -27,7 +29,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "crf")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: The most lines of each sort, with and without a labelled secret, that the field is trained on, and words of a line used.
+#: The most stretches of each sort, with and without a labelled secret, that the field is trained on; a line of more
+#: than MAX_WORDS words makes several stretches.
 MAX_LINES, MAX_WORDS = 2000, 128
 #: Shapes of words of at most so many bytes are kept; those of longer ones are worked out anew.
 _KEPT = 256
@@ -146,26 +149,61 @@ def viterbi(e: np.ndarray, start: np.ndarray, size: np.ndarray, trans: np.ndarra
     return out
 
 
-def plain_model() -> dict:
-    """Everything is outside."""
-    out = {"own": np.zeros((_CLASSES, 3)), "before": np.zeros((_CLASSES, 3)), "after": np.zeros((_CLASSES, 3)), "file": np.zeros((_FILES, 3)), "trans": np.zeros((3, 3))}
+def _parts() -> list[np.ndarray]:
+    """For each class its number in every partition of the classes: itself, hint, end mark, characters, length. The edge is 0."""
+    c = np.arange(_CLASSES - 1)
+    size, cell = c % (len(_LENGTHS) + 1), c // (len(_LENGTHS) + 1)
+    each = [c, cell // 30, cell // 10 % 3, cell % 10, size]
+    return [np.concatenate([[0], x + 1]) for x in each]
+
+
+_SIDES = ("own", "before", "after")
+
+
+def _weights() -> dict:
+    out = {f"{side}{i}": np.zeros((int(part.max()) + 1, 3)) for side in _SIDES for i, part in enumerate(_parts())}
+    out |= {"file": np.zeros((_FILES, 3)), "trans": np.zeros((3, 3))}
     out["file"][:, O] = 1.0
     out["trans"][O, I] = -1e9
-    return {k: v.astype(np.float32) for k, v in out.items()}
+    return out
+
+
+def _tables(w: dict) -> dict:
+    """The weights as one table a side, by class."""
+    parts = _parts()
+    return {side: sum(w[f"{side}{i}"][part] for i, part in enumerate(parts)) for side in _SIDES} | {"file": w["file"], "trans": w["trans"]}
+
+
+def plain_model() -> dict:
+    """Everything is outside."""
+    return {k: v.astype(np.float32) for k, v in _tables(_weights()).items()}
+
+
+def masked(lines: list[tuple[list[int], list[int], int]]) -> list[tuple[list[int], list[int], int]]:
+    """The lines; and those with a secret once more without hints, and once more with other characters in the secret's words."""
+    n, out, deal = len(_LENGTHS) + 1, list(lines), np.random.default_rng(13)
+    for classes, tags, file in lines:
+        if not any(tags):
+            continue
+        out.append(([c if c == _EDGE else (c - 1) % (30 * n) + 1 for c in classes], tags, file & 2))
+        kind = int(deal.choice((5, 6, 7, 9)))
+        swap = lambda c: c if (c - 1) // n % 10 != 8 else c + (kind - 8) * n  # noqa: B023, E731  hex becomes another mix with digits
+        out.append(([swap(c) if c != _EDGE and t else c for c, t in zip(classes, tags)], tags, file))
+    return out
 
 
 def fit(lines: list[tuple[list[int], list[int], int]], epochs: int = 12, rate: float = 0.3, l2: float = 1e-4) -> dict:
     """lines: classes, tags, file class. Maximum likelihood by stochastic gradient (forward-backward, Adagrad)."""
-    m = {k: v.astype(np.float64) for k, v in plain_model().items()}
+    w, parts = _weights(), _parts()
     if not any(B in tags for _, tags, _ in lines):
         return plain_model()
-    square = {k: np.full(v.shape, 1e-3) for k, v in m.items()}
+    square = {k: np.full(v.shape, 1e-3) for k, v in w.items()}
     lines = sorted(lines, key=lambda x: (len(x[0]), x))
     groups = [lines[i : i + 64] for i in range(0, len(lines), 64)]
     deal = np.random.default_rng(7)
     for _ in range(epochs):
         for g in deal.permutation(len(groups)):
-            part = groups[g]
+            part, m = groups[g], _tables(w)
             longest = max(len(x[0]) for x in part)
             c, y, live = (np.zeros((len(part), longest), dtype=np.int64) for _ in range(3))
             for i, (classes, tags, _) in enumerate(part):
@@ -188,20 +226,23 @@ def fit(lines: list[tuple[list[int], list[int], int]], epochs: int = 12, rate: f
             diff = np.zeros_like(p)
             diff[rows[:, None], np.arange(n), y] = 1.0
             diff = diff * live[..., None] - p
-            grad = {k: np.zeros_like(v) for k, v in m.items()}
-            for name, key in (("own", c), ("before", before), ("after", after)):
-                np.add.at(grad[name], key.ravel(), diff.reshape(-1, 3))
+            grad = {k: np.zeros_like(v) for k, v in w.items()}
+            for side, key in zip(_SIDES, (c, before, after)):
+                by_class = np.zeros((_CLASSES, 3))
+                np.add.at(by_class, key.ravel(), diff.reshape(-1, 3))
+                for i, of in enumerate(parts):
+                    np.add.at(grad[f"{side}{i}"], of, by_class)
             np.add.at(grad["file"], file, diff.sum(axis=1))
             if n > 1:
                 pair = np.exp(np.minimum(fwd[:, :-1, :, None] + m["trans"] + (e[:, 1:] + bwd[:, 1:])[:, :, None] - z[:, None, None, None], 0)) * live[:, 1:, None, None]
                 grad["trans"] -= pair.sum(axis=(0, 1))
                 np.add.at(grad["trans"], (y[:, :-1][live[:, 1:] > 0], y[:, 1:][live[:, 1:] > 0]), 1.0)
-            for k in m:
-                step = grad[k] / len(part) - l2 * np.where(m[k] < -1e8, 0, m[k])
+            for k in w:
+                step = grad[k] / len(part) - l2 * np.where(w[k] < -1e8, 0, w[k])
                 square[k] += step * step
-                m[k] += rate * step / np.sqrt(square[k])
-            m["trans"][O, I] = -1e9
-    return {k: v.astype(np.float32) for k, v in m.items()}
+                w[k] += rate * step / np.sqrt(square[k])
+            w["trans"][O, I] = -1e9
+    return {k: v.astype(np.float32) for k, v in _tables(w).items()}
 
 
 def labelled_lines(docs: DataFrame) -> DataFrame:
@@ -228,25 +269,29 @@ def labelled_lines(docs: DataFrame) -> DataFrame:
                         inside = [j for j, w in enumerate(words) if w.start() < b and w.end() > a]
                         for j in inside:
                             tags[j] = B if j == inside[0] and tags[j] == O else I if tags[j] == O else tags[j]
-                    first = max(0, next((j for j, x in enumerate(tags) if x), 0) - MAX_WORDS // 2)
-                    words, tags = words[first : first + MAX_WORDS], tags[first : first + MAX_WORDS]
-                    if words:
-                        if c is None:
-                            c = _classes(text, known)
-                            file = _file_class(c)
-                        if tags[0] == I:
-                            tags[0] = B
-                        rows.append((zlib.crc32(f"{doc}:{i}".encode()), any(tags), [int(known[w[0].encode("utf-8", "surrogatepass")]) for w in words], tags, file))
+                    if words and c is None:
+                        c = _classes(text, known)
+                        file = _file_class(c)
+                    for first in range(0, len(words), MAX_WORDS):
+                        some, own = words[first : first + MAX_WORDS], tags[first : first + MAX_WORDS]
+                        if own[0] == I:
+                            own[0] = B
+                        rows.append((zlib.crc32(f"{doc}:{i}:{first}".encode()), any(own), [int(known[w[0].encode("utf-8", "surrogatepass")]) for w in some], own, file))
             yield pd.DataFrame(rows, columns=["h", "positive", "classes", "tags", "file"])
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "h long, positive boolean, classes array<int>, tags array<int>, file int")
 
 
 def train(docs: DataFrame, max_lines: int = MAX_LINES) -> dict:
-    """Fitted on at most ``max_lines`` lines with and as many without a match, those of least hash."""
-    lines = stored(labelled_lines(docs), "labelled-lines")
-    few = [lines.where(which).orderBy("h", "classes", "tags").limit(max_lines) for which in ("positive", "NOT positive")]
-    return fit([(r["classes"], r["tags"], r["file"]) for part in few for r in part.collect()])  # a bounded sample
+    """Fitted on at most ``max_lines`` stretches of lines with and as many without a match, those of least hash."""
+    with Scratch(docs.sparkSession) as scratch:
+        lines, few = scratch.put("labelled-lines", labelled_lines(docs)), []
+        for which in ("positive", "NOT positive"):
+            own = lines.where(which)
+            # Hashes are even over 32 bits: of n lines, about twice as many as are needed lie below this.
+            least = min(1.0, (2 * max_lines + 200) / max(own.count(), 1))
+            few += own.where(F.col("h") < int(least * 2**32)).orderBy("h", "classes", "tags").limit(max_lines).collect()  # a bounded sample
+    return fit(masked([(r["classes"], r["tags"], r["file"]) for r in few]))
 
 
 def _spans_of(text: str, tags: np.ndarray) -> list[tuple[int, int, int]]:
@@ -269,7 +314,7 @@ def _listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, the base counts, base_sha256 and all spans of each row."""
+    """doc_id, the base counts, base_sha256, all spans and n_crf (how many the field added) of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -296,15 +341,15 @@ def scan(docs: DataFrame, model: dict) -> DataFrame:
                     if (own > 0).any():
                         added = [x for x in _spans_of(text, own) if not any(x[0] < q[2] and q[0] < x[2] for q in base)]
                     kinds = [k for _, k, _ in base]
-                    rows.append((kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(base + added)))
-                out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+                    rows.append((kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(base + added), len(added)))
+                out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf"])
                 yield out.assign(doc_id=pd.array(pdf["doc_id"], "Int64"))
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long")
 
 
 def op8_secret_scans(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row.
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_crf for every row.
 
     Null and empty texts have no spans. Repeated rows are scanned one by one. Without a match to learn
     from, the field adds nothing. An empty table gives no rows.
