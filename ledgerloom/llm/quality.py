@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import stored, words
 
 #: Length in words of the windows that count as repeats.
 WINDOW = 8
@@ -106,13 +106,23 @@ def ablation(book: DataFrame, policy: str, rules: Sequence[Rule] = RULES) -> Dat
     return book.agg(*sums).select(F.inline(row)).withColumn("policy", F.lit(policy))
 
 
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger without the texts, stored: policies and ablations are read from it."""
+    return stored(ledger(docs.select("doc_id", "text")).drop("text"), "quality-ledger")
+
+
 def op10_quality_rules(docs: DataFrame, policy: str = "full-1") -> DataFrame:
     """The verdict per document; empty tables give no rows, repeated rows are judged one by one."""
-    book = ledger(docs.select("doc_id", "text"))
+    book = stored_ledger(docs)
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes("base-1")).alias("base_failed"), passes(policy).alias("kept"), "fail_bits")
 
 
-ORACLE = """
+def quality_ablation(docs: DataFrame, policy: str = "full-1") -> DataFrame:
+    """``ablation`` of the stored ledger of ``docs``."""
+    return ablation(stored_ledger(docs), policy)
+
+
+_BITS = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM t),
@@ -126,5 +136,11 @@ m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))
 b AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END)
       + (CASE WHEN n_symbols > 0.3 * n_words THEN 4 ELSE 0 END) + (CASE WHEN word_chars < 2 * n_words THEN 8 ELSE 0 END)
       + (CASE WHEN word_chars > 25 * n_words THEN 16 ELSE 0 END) + (CASE WHEN n_lines > 3 AND 2 * n_dup_lines > n_lines THEN 32 ELSE 0 END) AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits::BIGINT AS fail_bits FROM b
 """
+ORACLE = _BITS + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits::BIGINT AS fail_bits FROM b"
+ABLATION_ORACLE = (
+    _BITS.rstrip()
+    + """,
+r AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('short_words', 8), ('long_words', 16), ('repeated_lines', 32)) v(rule, bit))
+SELECT rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits = bit) AS n_only, 'full-1' AS policy FROM b, r GROUP BY rule"""
+)

@@ -54,10 +54,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op10_quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_lm_score, op3_line_dedup, op4_url_filters, op5_sharding, op6_token_ids, op7_decontamination, op8_secret_scans, op9_jaccard_join, op10_quality_rules)}
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_ablation(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_lm_score, op3_line_dedup, op4_url_filters, op5_sharding, op6_token_ids, op7_decontamination, op8_secret_scans, op9_jaccard_join, op10_quality_rules, quality_ablation)}
 ORACLES = {
     "op1_mixing": mixing.op1_oracle(),
     "op3_line_dedup": linededup.ORACLE,
     "op7_decontamination": decontam.ORACLE,
     "op10_quality_rules": quality.ORACLE,
+    "quality_ablation": quality.ABLATION_ORACLE,
 }
