@@ -38,8 +38,8 @@ def first_map(shards: int, slots: int = SLOTS) -> dict[int, int]:
 def rebalance(slot_to_shard: Mapping[int, int], n_bytes: Mapping[int, int], shards: int) -> dict[int, int]:
     """The next version of the map, over ``shards`` shards: slots move from the fullest shard to the emptiest.
 
-    Only moves that lower the fullest shard below its size are made, largest slot first that fits,
-    then swaps of two slots that bring the two shards nearer.
+    A move or swap is made only if it brings the two shards nearer, so the sum of squared sizes falls each time
+    and the moves end; then no single slot, and none of the swaps tried, would bring them nearer.
     """
     held: dict[int, list[int]] = {k: [] for k in range(shards)}
     out = dict(slot_to_shard)
@@ -48,7 +48,7 @@ def rebalance(slot_to_shard: Mapping[int, int], n_bytes: Mapping[int, int], shar
             out[s] = s % shards
         held[out[s]].append(s)
     size = {k: sum(n_bytes.get(s, 0) for s in v) for k, v in held.items()}
-    for _ in range(64 * shards):
+    while True:
         low, top = min(size, key=lambda k: (size[k], k)), max(size, key=lambda k: (size[k], -k))
         gap = size[top] - size[low]
         fits = [(n_bytes.get(s, 0), -s) for s in held[top] if 0 < n_bytes.get(s, 0) < gap]

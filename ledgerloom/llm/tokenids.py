@@ -7,6 +7,7 @@ whatever executors are lost): its documents' ids, their lengths, and the blocks
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -32,14 +33,33 @@ _MARKS = frozenset(".,;:!?")
 MAX_BROADCAST_SEGMENTS = 500_000
 
 
+def splits_at_blanks(tokenizer) -> bool:
+    """Whether the tokenizer's ids of a text are those of its words between blanks, one after the other, in either case.
+
+    That holds for what is checked here: NFC, blanks squeezed and lower case before, then a cut at blanks and
+    between letters, digits and other signs, and nothing added after.
+    """
+    j = json.loads(tokenizer.to_str())
+    norm, pre = j["normalizer"] or {}, j["pre_tokenizer"] or {}
+    norms = [(x["type"], x.get("pattern"), x.get("content")) for x in norm.get("normalizers", [])]
+    splits = [(x["type"], x.get("behavior"), x.get("invert"), x.get("add_prefix_space"), x.get("use_regex")) for x in pre.get("pretokenizers", [])]
+    return (
+        norms == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+        and splits == [("Split", "Removed", True, None, None), ("ByteLevel", None, None, False, False)]
+        and pre["pretokenizers"][0]["pattern"] == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+        and not j["post_processor"] and not j["truncation"] and not j["padding"] and not j["model"].get("dropout")
+    )
+
+
 class Encoder:
-    """Ids as uint16 bytes. Words between blanks never merge, so each distinct one is encoded once and kept."""
+    """Ids as uint16 bytes. If words between blanks never merge, each distinct one is encoded once and kept; else whole texts are encoded."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.by_word = splits_at_blanks(self.tokenizer)
         self.mark = self.tokenizer.token_to_id(_MARK)
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("the file format holds ids below 65536")
@@ -72,6 +92,8 @@ class Encoder:
             known[w] = known[stem] + known[end]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         out, known = [], self.known
         for text in texts:
             words = text.replace("\n", " ").split(" ")
