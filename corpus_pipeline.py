@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontam, jaccard, mixing, quality, tokenids
-from ledgerloom.llm.common import scratch, table
+from ledgerloom.llm.common import Scratch, scratch, table
 from ledgerloom.llm.queries import tokenizer_path
 
 #: Of all tokens, what the mix takes; no document is taken twice.
@@ -16,34 +16,29 @@ SHARE, EPOCHS, SEED = (9, 10), 1, 1
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
-    return quality.ledger(docs).where(quality.passes("full-1")).select(*docs.columns)
+    """Rejected documents go; null and empty texts are rejected. Columns of ``docs`` may have any names."""
+    book = quality.ledger(docs.select(F.struct("*").alias("__doc"), "text"))
+    return book.where(quality.passes("full-1")).select("__doc.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the smallest doc_id stays, once; rows without doc_id stay."""
-    groups = jaccard.linked(docs)
-    first = groups.where("doc_id = component_id").select("doc_id")
-    one = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """Of each group the document with the smallest doc_id stays, once; documents without doc_id are grouped like
+    others and stay if their group has none with one. Rows that share a doc_id are judged each by its text."""
+    return jaccard.without_copies(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    hit = decontam.hits(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a window of a benchmark item go, with or without doc_id."""
+    return decontam.without_hits(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, each as often as it is taken."""
-    taken = mixing.mix(mixing.measured(docs), SHARE, mixing.WEIGHTS, EPOCHS, SEED).where("copies > 0")
-    one = taken.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    kept = docs.join(one, "doc_id").withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return kept.select(*docs.columns)
+    """The documents of the mix, each as often as it is taken, with or without doc_id."""
+    return mixing.taken(docs, SHARE, mixing.WEIGHTS, EPOCHS, SEED)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of what the token files hold."""
+    """doc_id, start, n_tokens and ids_crc32 of what the token files hold; null doc_ids come first, rows that share one by text."""
     path = scratch(spark, "token-ids")
     tokenids.write_ids(docs, tokenizer_path(), path)
     return tokenids.documents_of(tokenids.read_ids(spark, path))
@@ -61,10 +56,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each one's result is written as Parquet and read again."""
+    """Applies the stages to ``documents``; each one's result is written as Parquet, read again, and dropped when the next one's is written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        path = scratch(spark, name.replace(" ", "-").replace("/", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch(spark) as kept:
+        for name, stage in STAGES[:-1]:
+            docs = kept.put("stage", stage(spark, docs, sf_dir))
+        out = kept.put("result", STAGES[-1][1](spark, docs, sf_dir))
+        kept.keep("result")
+        return out
