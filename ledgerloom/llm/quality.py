@@ -141,6 +141,6 @@ ORACLE = _BITS + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_
 ABLATION_ORACLE = (
     _BITS.rstrip()
     + """,
-r AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('short_words', 8), ('long_words', 16), ('repeated_lines', 32)) v(rule, bit))
-SELECT rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits = bit) AS n_only, 'full-1' AS policy FROM b, r GROUP BY rule"""
+rl AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('short_words', 8), ('long_words', 16), ('repeated_lines', 32)) v(rule, bit))
+SELECT rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits = bit) AS n_only, 'full-1' AS policy FROM b, rl GROUP BY rule"""
 )
