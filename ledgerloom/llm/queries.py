@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, linededup, lmscore, mixing, quality, secrets, sharding, tokenids, urlfilter
+from . import decontam, jaccard, linededup, lmscore, mixing, periodic, quality, secrets, sharding, sketch, tokenids, trie, urlfilter
 from .common import table
 
 
@@ -54,15 +54,28 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op10_quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.op11_conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.op12_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.op13_periodic_runs(table(spark, sf_dir, "documents"))
+
+
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_ablation(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_lm_score, op3_line_dedup, op4_url_filters, op5_sharding, op6_token_ids, op7_decontamination, op8_secret_scans, op9_jaccard_join, op10_quality_rules, quality_ablation)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_lm_score, op3_line_dedup, op4_url_filters, op5_sharding, op6_token_ids, op7_decontamination, op8_secret_scans, op9_jaccard_join, op10_quality_rules, op11_conversation_trie, op12_fingerprints, op13_periodic_runs, quality_ablation)}
 ORACLES = {
     "op1_mixing": mixing.op1_oracle(),
     "op3_line_dedup": linededup.ORACLE,
     "op7_decontamination": decontam.ORACLE,
     "op10_quality_rules": quality.ORACLE,
+    "op11_conversation_trie": trie.ORACLE,
     "quality_ablation": quality.ABLATION_ORACLE,
 }
