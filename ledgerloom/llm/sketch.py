@@ -89,9 +89,16 @@ def peeled(cells: DataFrame, keep: bool = False) -> DataFrame:
     return state
 
 
-def _keys(sets: DataFrame, level: int) -> DataFrame:
-    keys = sets.repartition("row").select("row", F.inline("sides")).select("row", "kind", "n", F.explode("keys").alias("k"))
-    return keys.select("row", "kind", "n", "k", _bucket(F.col("k"), level).alias("bucket"), _bucket(F.col("k"), max(level - 1, 0)).alias("above"))
+def _keys(sets: DataFrame, level: int, pending: DataFrame | None = None) -> DataFrame:
+    """OF, n and k of the digests that are to be sketched; rows lie by ``row``, whose arrays are what is shuffled. pending: row, kind, and above, the bucket of the last level."""
+    if pending is None:
+        dealt = sets.repartition("row").withColumn("todo", F.lit(None))
+    else:
+        dealt = sets.join(pending.groupBy("row").agg(F.collect_list(F.struct("kind", "above")).alias("todo")), "row")
+    keys = dealt.select("row", "todo", F.inline("sides")).select("row", "todo", "kind", "n", F.explode("keys").alias("k")).withColumn("above", _bucket(F.col("k"), max(level - 1, 0)))
+    if pending is not None:
+        keys = keys.where(F.array_contains("todo", F.struct("kind", "above")))
+    return keys.select("row", "kind", "n", "k", _bucket(F.col("k"), level).alias("bucket"))
 
 
 def differing(sets: DataFrame, scratch: Scratch, keep: bool = False) -> DataFrame:
@@ -103,8 +110,7 @@ def differing(sets: DataFrame, scratch: Scratch, keep: bool = False) -> DataFram
     least = scratch.put("about", least.select("row", "kind", F.col("bucket").alias("above"), (F.col("about") <= MOST).alias("few")))
     pending, late, done = least.where("few"), least.where("NOT few"), None
     for level in range(60 // GROW_BITS + 1):
-        keys = _keys(sets, level).join(pending.select("row", "kind", "above").repartition("row"), ["row", "kind", "above"], "left_semi")
-        after = peeled(sketch(keys, *OF), keep)
+        after = peeled(sketch(_keys(sets, level, pending.select("row", "kind", "above")), *OF), keep)
         tried = after.select("*", (F.max("cell").over(W.partitionBy(*OF)) < 0).alias("ok")) if keep else after.groupBy(*OF).agg(F.sum("found").alias("found"), (F.max("cell") < 0).alias("ok"))
         tried = scratch.put(f"level-{level}", tried)
         good = tried.where("ok").select("row", "kind", *(("n", "k") if keep else ("found",)))
