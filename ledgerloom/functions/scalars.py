@@ -297,15 +297,25 @@ def amount_in_words(text: Column) -> Column:
 
 
 # B17, B18, B19
-#: Legal forms, Cyrillic and Latin.
-LEGAL_FORMS = "еоод|оод|еад|ад|ет|сд|кда|кд|дззд|ltd|llc|jsc|plc|gmbh|inc|eood|ood|ead|ad|et"
+#: Legal forms, in the order in which they are taken out.
+LEGAL_FORMS = (
+    r"еоод\s+енд\s+ко", r"eood\s*&\s*co", r"eood\s+and\s+co", "еоод", "оод", "еад", "ад", "ет", "сд", "кд", "кда", "дззд", "eood", "lood", "ead", "ad", "ltd", "llc", "gmbh", "corp", "inc",
+    "ag", "sa", "bv",
+)
+#: Words that name no company by themselves.
+GENERIC_WORDS = (
+    "българия", "bulgaria", "софия", "sofia", "варна", "varna", "пловдив", "plovdiv", "бургас", "burgas", "европа", "europe", "интернешънъл", "international", "група", "group", "инвест",
+    "invest", "трейдинг", "trading", "комерс", "commerce", "холдинг", "holding", "системс", "systems", "сървисиз", "services", "къмпани", "company", "глобал", "global", "експрес", "express",
+    "транс", "trans", "логистик", "logistic", "логистикс", "logistics", "център", "center", "centre", "магазин", "shop", "маркет", "market",
+)
 
 
 def normalize_company(text: Column) -> Column:
-    """Lower case, without punctuation and legal forms, single spaces."""
-    t = F.regexp_replace(F.lower(text), "(?U)[^\\w\\s]", " ")
-    t = F.regexp_replace(t, f"(?U)(?<!\\w)({LEGAL_FORMS})(?!\\w)", " ")
-    return F.trim(F.regexp_replace(t, "(?U)\\s+", " "))
+    """Lower case, without punctuation and legal forms, single spaces; empty for null."""
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\"'`«»„“.,()\-/\\:;!?*#]", " ")
+    for form in LEGAL_FORMS:
+        t = F.regexp_replace(t, rf"(?U)\b{form}\b", " ")
+    return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
 
 
 #: The statutory transliteration.
@@ -321,18 +331,23 @@ def translit_bg_en(text: Column) -> Column:
     return F.array_join(F.transform(F.split(F.lower(text), ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
 
 
+#: Groups of Latin letters by sound, in order, then single ones.
+EN_BG_GROUPS = (("sht", "щ"), ("dzh", "дж"), ("zh", "ж"), ("ch", "ч"), ("sh", "ш"), ("ts", "ц"), ("yu", "ю"), ("ya", "я"), ("ge", "дже"), ("gi", "джи"))
+EN_BG_LETTERS = ("abcdefghijklmnopqrstuvwyz", "абкдефгхийклмнопкрстуввйз")
+
+
 def translit_en_bg(text: Column) -> Column:
-    """Back again: the longest letter groups first."""
+    """Lower-cased Latin text by its sound in Cyrillic letters."""
     t = F.lower(text)
-    for bg, en in sorted(BG_EN.items(), key=lambda x: (-len(x[1]), x[0])):
-        if bg not in "ъь":
-            t = F.replace(t, F.lit(en), F.lit(bg))
-    return t
+    for en, bg in EN_BG_GROUPS:
+        t = F.replace(t, F.lit(en), F.lit(bg))
+    return F.translate(F.replace(t, F.lit("x"), F.lit("кс")), *EN_BG_LETTERS)
 
 
-def distinctive_tokens(text: Column, stop: str = "the and for ltd bulgaria българия груп group") -> Column:
-    words = F.split(normalize_company(text), " ")
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*stop.split())))
+def distinctive_tokens(name: Column) -> Column:
+    """Distinct words of three letters or more of a normalized name that aren't generic."""
+    words = F.split(name, " ")
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*GENERIC_WORDS)))
 
 
 # B20
