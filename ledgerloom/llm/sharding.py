@@ -1,6 +1,7 @@
 """Sharding by fixed virtual slots.
 
-Records hash into a fixed number of slots that never changes. Bytes are added up per slot, and a
+Records hash by id and text into a fixed number of slots that never changes; those without id, which may be many copies of one
+text, also by their place in the stored table. Bytes are added up per slot, and a
 versioned map assigns slots to shards. Balancing or adding a shard edits the map only: a record's
 slot stays, and whole slots move.
 """
@@ -13,16 +14,19 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, text_or_empty
+from .common import Scratch, delete, scratch, text_or_empty
 
 #: Virtual slots; fixed for the life of a data set.
 SLOTS = 4096
 
 
-def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size (UTF-8 bytes and 1), text_crc32 and virtual_slot, by doc_id's hash alone."""
+def records(docs: DataFrame, scratch: Scratch, slots: int = SLOTS) -> DataFrame:
+    """doc_id, size (UTF-8 bytes and 1), text_crc32 and virtual_slot, stored."""
     body = text_or_empty()
-    return docs.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("virtual_slot"))
+    one = docs.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(body).alias("th"), F.monotonically_increasing_id().alias("at"))
+    one = scratch.put("records", one)  # places must not change between the two passes
+    place = F.when(F.col("doc_id").isNull(), F.col("at")).otherwise(0)
+    return one.select("doc_id", "size", "text_crc32", F.pmod(F.xxhash64("doc_id", "th", place), F.lit(slots)).cast("int").alias("virtual_slot"))
 
 
 def slot_bytes(recs: DataFrame) -> DataFrame:
@@ -104,14 +108,19 @@ def place(recs: DataFrame, slot_map: DataFrame) -> DataFrame:
 def op5_sharding(docs: DataFrame, shards: int = 16, slots: int = SLOTS) -> DataFrame:
     """All documents in ``shards`` shards of near equal bytes (law ``bytes``).
 
-    Null texts have size 1; null doc_ids share one virtual slot; repeated rows get places of their
-    own, next to each other. An empty table gives no rows.
+    Null texts have size 1. Rows without id are spread one by one, rows that share an id by their text; rows equal in both share a
+    virtual slot, next to each other. Very long texts count with their bytes: no shard can be smaller than its largest text. An
+    empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    recs = records(docs, slots)
-    path = scratch(spark, "shard-map")
-    sizes = {r["virtual_slot"]: r["n_bytes"] for r in slot_bytes(recs).collect()}  # one row a slot
-    write_map(spark, first := first_map(shards, slots), 1, path)
-    write_map(spark, rebalance(first, sizes, shards), 2, path)
-    placed = place(recs, read_map(spark, path, 2))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+    with Scratch(spark) as held:
+        recs = records(docs, held, slots)
+        path = scratch(spark, "shard-map")
+        sizes = {r["virtual_slot"]: r["n_bytes"] for r in slot_bytes(recs).collect()}  # one row a slot
+        write_map(spark, first := first_map(shards, slots), 1, path)
+        write_map(spark, rebalance(first, sizes, shards), 2, path)
+        placed = place(recs, read_map(spark, path, 2))
+        out = held.put("placed", placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"))
+        held.keep("placed")
+        delete(spark, path)  # the query's own map; ``write_map`` keeps versions for a data set that stays
+    return out

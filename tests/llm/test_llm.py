@@ -169,6 +169,12 @@ def test_sharding(docs, none, spark):
     small = {(r["doc_id"], r["slot"], r["shard"]): r for r in sharding.op5_sharding(docs).collect()}
     assert len(small) == 13 and {r["size"] for r in small.values() if r["doc_id"] in (4, 5)} == {1}
     assert sharding.op5_sharding(none).count() == 0
+    same = spark.range(3000).select(F.when(F.col("id") >= 2000, F.col("id")).alias("doc_id"), F.lit("a text of equal size").alias("text")).repartition(6)
+    sizes = [r[0] for r in sharding.op5_sharding(same).groupBy("shard").agg(F.sum("size")).select("sum(size)").collect()]
+    assert len(sizes) == 16 and max(sizes) - min(sizes) < 2 * 21, sizes  # 2,000 rows without id
+    one = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.format_string("text %04d", "id").alias("text")).repartition(6)
+    sizes = [r[0] for r in sharding.op5_sharding(one).groupBy("shard").agg(F.sum("size")).select("sum(size)").collect()]
+    assert len(sizes) == 16 and max(sizes) - min(sizes) < 2 * 10, sizes  # one id for all
     assert set(sharding.rebalance({0: 0, 1: 0, 2: 1}, {0: 5, 1: 5, 2: 0}, 3).values()) <= {0, 1, 2}
 
 
@@ -410,9 +416,9 @@ def test_lm_score_is_the_plain_one():
                 bit = int(code["bit"][at])
                 cost = math.log2(p if bit else 1 - p)
                 total, below[-1] = total + (not code["deep"][at]) * cost, below[-1] + code["deep"][at] * cost
-                steps.append((gate, w[gate] + 0.002 * (bit - p) * x))
-            for gate, new in steps:  # of decisions of one symbol with one gate, the last counts
-                w[gate] = new
+                steps.append((gate, 0.002 * (bit - p) * x))
+            for gate, move in steps:  # decisions of one symbol with one gate all count
+                w[gate] += move
             before.append(sym)
         assert abs(total - bits) < 1e-2 and np.allclose(below, deep, atol=1e-2)
 

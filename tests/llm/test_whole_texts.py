@@ -39,7 +39,7 @@ def test_lm_weights_are_carried_through_a_text():
                 x, g = np.array([c["logit"][p], logit[0][a], logit[1][b]], dtype=float), int(seen[1][b]) * 8 + int(seen[0][a])
                 q = np.clip(1 / (1 + np.exp(-x @ before[g])), 1e-5, 1 - 1e-5)
                 bits += np.log2(q if c["bit"][p] else 1 - q)
-                w[g] = before[g] + (float(c["bit"][p]) - q) * 0.002 * x
+                w[g] += (float(c["bit"][p]) - q) * 0.002 * x
         want.append(bits)
     bits, deep = lmscore.score_group(texts, c, logit, seen, first, slots)
     assert np.allclose(bits + np.array([x.sum() for x in deep]), want, rtol=1e-4)
