@@ -193,22 +193,34 @@ def scale_integer_totals(df: DataFrame, items: DataFrame) -> DataFrame:
 
 # I21
 def repair_totals(df: DataFrame) -> DataFrame:
-    """base, VAT and total that don't add up: the pair with an implied rate of 20 or 9 % gives the third."""
-    b, v, t = F.col("tax_base"), F.col("vat"), F.col("total")
-    fits = lambda x, y: F.least(F.abs(F.try_divide(x, y) - F.expr("0.20BD")), F.abs(F.try_divide(x, y) - F.expr("0.09BD"))) <= F.expr("0.02BD")
-    off = F.abs(b + v - t) > F.expr("0.03BD")
-    swapped = v > b
-    rule = (
-        F.when(~off, "ok").when(swapped & fits(b, v), "swap").when(fits(v, b), "total").when(fits(t - b, b), "vat").when(fits(v, t - v), "base").when(b > t, "inverted").otherwise("open")
-    )
-    out = df.withColumn("rule", F.coalesce(rule, F.lit("open")))
-    r = F.col("rule")
-    third = F.round(t / F.expr("1.20BD"), 2)
-    return out.withColumns({
-        "tax_base": money(F.when(r == "swap", v).when(r == "base", t - v).when(r == "inverted", third).otherwise(b)),
-        "vat": money(F.when(r == "swap", b).when(r == "vat", t - b).when(r == "inverted", t - third).otherwise(v)),
-        "total": money(F.when(r.isin("swap", "total"), b + v).otherwise(t)),
-    })
+    """tax_base, vat and total brought together, and rule, what was done: the total in words (column words, may be null or missing) replaces a missing total, or one off by
+    more than 1 if it fits the VAT; a base above the total is the total without 20 %; a base and VAT that add up but are exchanged are swapped; of three that are
+    off by more than 0.03 the one pair with a rate of 20 or 9 % gives the third, else the one that is far off goes; a missing one follows from the others."""
+    df = df if "words" in df.columns else df.withColumn("words", F.lit(None).cast("decimal(18,2)"))
+    lit, zero = lambda x: F.expr(f"{x}BD"), F.lit(0)
+    rate = lambda part, whole: (part > 0) & (whole > 0) & ((F.abs(part - whole * lit("0.20")) < whole * lit("0.02")) | (F.abs(part - whole * lit("0.09")) < whole * lit("0.02")))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    b, v, t, w = (F.col(c) for c in ("tax_base", "vat", "total", "words"))
+    said = yes(w > 5)
+    over = said & yes((F.abs(t - w) > 1) & rate(v, w - v))
+    out = df.withColumns({"total": money(F.when(said & t.isNull() | over, w).otherwise(t)), "tax_base": money(F.when(over, w - v).otherwise(b)), "r0": F.when(over, "words").when(said & t.isNull(), "words")})
+    out = out.withColumn("r1", F.when(yes((t > 0) & (b > t)), "inverted")).withColumn("tax_base", money(F.when(F.col("r1").isNotNull(), F.round(t / lit("1.20"), 2)).otherwise(b)))
+    swap = yes((b > 0) & (v > 0) & (b < v) & (F.abs(b + v - t) <= lit("0.03")) & (F.abs(b - v * lit("0.20")) < v * lit("0.02")))
+    out = out.withColumn("r2", F.when(swap, "swap")).withColumns({"tax_base": F.when(swap, v).otherwise(b), "vat": F.when(swap, b).otherwise(v)})
+    one, two, three = rate(v, b), rate(t - b, b), rate(v, t - v)
+    off = (
+        F.when(one & ~two & ~three, "total").when(two & ~three, "vat").when(three & ~two, "base").when((b > 0) & (v > 0) & ((b + v) * 2 < t), "total")
+        .when((t - v > 0) & (F.abs(b - (t - v)) > t * lit("0.5")), "base").when((t - b > 0) & (F.abs(v - (t - b)) > t * lit("0.5")), "vat").otherwise("open")
+    )
+    full = b.isNotNull() & v.isNotNull() & t.isNotNull()
+    lacks = (
+        F.when(full & (F.abs(b + v - t) > lit("0.03")), off).when(full, "ok").when(t.isNotNull() & v.isNotNull(), "base").when(t.isNotNull() & b.isNotNull(), F.when(t >= b, "vat").otherwise("rate"))
+        .when(b.isNotNull() & v.isNotNull(), "total").otherwise("open")
+    )
+    out = out.withColumn("r3", lacks)
+    r, vat20 = F.col("r3"), F.round(b * lit("0.20"), 2)
+    fixed = {"tax_base": F.when(r == "base", t - v).otherwise(b), "vat": F.when(r == "vat", F.greatest(t - b, zero)).when(r == "rate", vat20).otherwise(v), "total": F.when(r == "total", b + v).when(r == "rate", b + vat20).otherwise(t)}
+    return out.withColumns({k: money(c) for k, c in fixed.items()} | {"rule": F.concat_ws(" ", "r0", "r1", "r2", "r3")}).drop("r0", "r1", "r2", "r3", "words")
 
 
 # E11, E12, E13

@@ -189,11 +189,11 @@ def distinct_contractors(spark, d):
     return J.first_by_rank(inv(spark, d).select("supplier_eik", "date_tax_event", "invoice_id"), "supplier_eik", [F.col("date_tax_event"), F.col("invoice_id")])
 
 
-@query("K09_upsert_partners", f"WITH {PART}, base AS (SELECT country_code, eik, legal_name, 'old' AS updated FROM partners WHERE partner_id % 3 <> 0), new AS (SELECT country_code, eik, legal_name || ' X' AS legal_name, 'new' AS updated FROM partners WHERE partner_id % 2 = 0) SELECT country_code, eik, coalesce(new.legal_name, base.legal_name) AS legal_name, coalesce(new.updated, base.updated) AS updated FROM base FULL JOIN new USING (country_code, eik)")
+@query("K09_upsert_partners", f"WITH {PART}, base AS (SELECT country_code, eik, legal_name, 'old' AS updated FROM partners WHERE partner_id % 3 <> 0), new AS (SELECT country_code, eik, legal_name || ' X' AS legal_name, 'new' AS updated FROM partners WHERE partner_id % 2 = 0 OR partner_id % 3 = 0) SELECT country_code, eik, coalesce(new.legal_name, base.legal_name) AS legal_name, coalesce(new.updated, base.updated) AS updated FROM base FULL JOIN new USING (country_code, eik)")
 def upsert_partners(spark, d):
     p = A.partners(spark, d)
     base = p.where("partner_id % 3 <> 0").select("country_code", "eik", "legal_name", F.lit("old").alias("updated"))
-    new = p.where("partner_id % 2 = 0").select("country_code", "eik", F.concat("legal_name", F.lit(" X")).alias("legal_name"), F.lit("new").alias("updated"))
+    new = p.where("partner_id % 2 = 0 OR partner_id % 3 = 0").select("country_code", "eik", F.concat("legal_name", F.lit(" X")).alias("legal_name"), F.lit("new").alias("updated"))
     return J.upsert(new, base, ["country_code", "eik"], ["legal_name", "updated"])
 
 
@@ -230,22 +230,24 @@ def numbers(spark, d):
     return A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.normalize_doc_number(F.concat(F.lit("No. "), n)).alias("ledger_number"), S.match_doc_number(F.concat(F.lit("INV-000"), n)).alias("match_number"), S.undouble_number(F.concat(half, half)).alias("undoubled"))
 
 
-@query("B11_normalize_vat", f"WITH {PART} SELECT partner_id, 'BG' || eik AS vat FROM partners WHERE {_V9('eik')}")
-def normalize_vat(spark, d):
-    """Valid numbers with blanks and dashes."""
-    p = A.partners(spark, d).where(S.eik9_valid(F.col("eik")))
-    return p.select("partner_id", S.normalize_vat(F.concat(F.lit("B G "), F.concat_ws("-", F.substring("eik", 1, 3), F.substring("eik", 4, 6)))).alias("vat"))
+#: What each digit may have been; the candidates with one digit exchanged.
+_SWAPS = ", ".join(f"left(eik, {i}) || translate(substr(eik, {i + 1}, 1), '80173654', '08718566') || substr(eik, {i + 2})" for i in range(9))
+_B10 = f"WITH {PART}, w AS (SELECT partner_id, eik, {_V9('eik')} AS ok, substr(eik, 5, 5) || '0001' AS tail FROM partners)"
 
 
-_B10 = f"WITH {PART}, w AS (SELECT partner_id, eik, {_V9('eik')} AS ok FROM partners)"
+@query("B11_normalize_vat", f"""{_B10}, c AS (SELECT partner_id, eik AS own, unnest([{_SWAPS}]) AS eik FROM w WHERE NOT ok), g AS (SELECT partner_id, min(eik) AS eik FROM c WHERE eik <> own AND {_V9('eik')} GROUP BY 1 HAVING count(*) = 1)
+SELECT partner_id, 'BG' || coalesce(g.eik, w.eik) AS vat FROM w LEFT JOIN g USING (partner_id)""")
+def normalize_vat(spark, d):
+    """Numbers with blanks and dashes; wrong ones are repaired where one exchange of a digit makes them right."""
+    p = A.partners(spark, d)
+    return p.select("partner_id", S.normalize_vat(F.concat(F.lit("B G "), F.concat_ws("-", F.substring("eik", 1, 3), F.substring("eik", 4, 6)))).alias("vat"))
 
 
-@query("B10_normalize_eik", _B10 + " SELECT partner_id, eik FROM w WHERE ok")
+@query("B10_normalize_eik", f"{_B10} SELECT partner_id, CASE WHEN ok THEN eik WHEN {_V9('tail')} THEN tail ELSE eik || '0001' END AS eik FROM w")
 def normalize_eik(spark, d):
-    """A valid number with four digits of a branch behind it, unless the whole is a valid number of 13."""
-    p = A.partners(spark, d).where(S.eik9_valid(F.col("eik")))
+    """A number with four digits of a branch behind it, which aren't the right end of a number of 13."""
     code = F.when(S.eik13_valid(F.concat("eik", F.lit("0001"))), "0002").otherwise("0001")
-    return p.select("partner_id", S.normalize_eik(F.concat(F.lit("EIK "), "eik", F.lit(" "), code)).alias("eik"))
+    return A.partners(spark, d).select("partner_id", S.normalize_eik(F.concat(F.lit("EIK "), "eik", F.lit(" "), code)).alias("eik"))
 
 
 @query("B16_amount_in_words", """WITH k AS (SELECT o_orderkey, o_orderkey % 9 AS h, o_orderkey % 8 AS t, o_orderkey % 7 AS o, o_orderkey % 100 AS c FROM orders)

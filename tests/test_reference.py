@@ -102,10 +102,10 @@ def test_names(spark):
 
 
 def test_totals_repair(spark):
-    df = spark.createDataFrame([(1, "100.00", "20.00", "999.00"), (2, "20.00", "100.00", "300.00"), (3, "100.00", "20.00", "120.00")], "invoice_id int, tax_base string, vat string, total string")
+    df = spark.createDataFrame([(1, "100.00", "20.00", "999.00"), (2, "20.00", "100.00", "300.00"), (3, "100.00", "20.00", "120.00"), (4, "20.00", "100.00", "120.00")], "invoice_id int, tax_base string, vat string, total string")
     df = df.select("invoice_id", *(F.col(c).cast("decimal(18,2)").alias(c) for c in ("tax_base", "vat", "total")))
     got = {r[0]: tuple(map(str, r[1:5])) for r in ledgers.repair_totals(df).collect()}
-    assert got == {1: ("100.00", "20.00", "120.00", "total"), 2: ("100.00", "20.00", "120.00", "swap"), 3: ("100.00", "20.00", "120.00", "ok")}
+    assert got == {1: ("100.00", "20.00", "120.00", "total"), 2: ("20.00", "100.00", "120.00", "total"), 3: ("100.00", "20.00", "120.00", "ok"), 4: ("100.00", "20.00", "120.00", "swap ok")}
 
 
 def test_readers(spark, tmp_path):

@@ -47,7 +47,7 @@ def test_remainder_of_three_rows(spark):
 
 def test_partner_queries_keep_all_partners(spark):
     p = adapters.partners(spark, SF)
-    eiks = {r["eik"] for r in p.where("partner_id % 3 <> 0 OR partner_id % 2 = 0").collect()}
+    eiks = {r["eik"] for r in p.collect()}
     assert {r["eik"] for r in catalogue.QUERIES["K09_upsert_partners"](spark, SF).collect()} == eiks
     assert {r["eik"] for r in catalogue.QUERIES["L02_update_profiles"](spark, SF).collect()} == {r["eik"] for r in p.collect()}
     assert catalogue.QUERIES["K09_upsert_partners"](spark, SF).count() == len(eiks) and catalogue.QUERIES["L02_update_profiles"](spark, SF).count() == p.count()
