@@ -122,6 +122,14 @@ def reverse_charge_flag(df: DataFrame) -> DataFrame:
     return df.withColumns({"reverse_charge": why.isNotNull(), "reason": why})
 
 
+def _self_assessed() -> tuple[Column, Column, Column]:
+    """A flagged invoice's base in leva, the supplier's number, and whether goods were acquired."""
+    base = F.coalesce(F.nullif(F.col("tax_base"), _zero()), F.col("total"), _zero())
+    cur = F.coalesce(F.nullif(F.upper(F.coalesce("currency", F.lit(""))), F.lit("")), F.lit("EUR"))
+    text, number = F.lower(F.coalesce("note", F.lit(""))), F.coalesce(F.nullif("supplier_vat", F.lit("")), "supplier_eik", F.lit("EU999999999"))
+    return F.when(cur == "EUR", S.eur_to_bgn(base)).otherwise(money(base)), number, F.contains(text, F.lit("воп")) | F.contains(text, F.lit("придобиване"))
+
+
 # I04, F12
 def protocols_117(df: DataFrame, full_credit: bool = True, start: int = 1) -> DataFrame:
     """A protocol for each flagged invoice: base (the total if there is none) in leva, 20 % VAT, kind, ground, supplier's country.
@@ -129,11 +137,7 @@ def protocols_117(df: DataFrame, full_credit: bool = True, start: int = 1) -> Da
     Numbers run in the order of invoice_id within each period, as a return is filed for one.
     """
     df = reverse_charge_flag(df).where("reverse_charge")
-    base = F.coalesce(F.nullif(F.col("tax_base"), _zero()), F.col("total"), _zero())
-    cur = F.coalesce(F.nullif(F.upper(F.coalesce("currency", F.lit(""))), F.lit("")), F.lit("EUR"))
-    bgn = F.when(cur == "EUR", S.eur_to_bgn(base)).otherwise(money(base))
-    text, number = F.lower(F.coalesce("note", F.lit(""))), F.coalesce(F.nullif("supplier_vat", F.lit("")), "supplier_eik", F.lit("EU999999999"))
-    vop = F.contains(text, F.lit("воп")) | F.contains(text, F.lit("придобиване"))
+    bgn, number, vop = _self_assessed()
     out = df.withColumns({"base": bgn, "vat_due": money(F.round(bgn * F.expr("0.20BD"), 2))})
     place = F.row_number().over(W.partitionBy("period").orderBy("invoice_id")) + (start - 1)
     return out.select(
@@ -178,17 +182,52 @@ def ledger_union(purchases: DataFrame, sales: DataFrame, protocols: DataFrame) -
     return purchases.unionByName(protocol_purchase_rows(protocols)), sales.unionByName(protocol_sales_rows(protocols))
 
 
+def book_amounts(df: DataFrame, full_credit: bool = True) -> DataFrame:
+    """invoice_id, period, book (purchase or sale) and the amounts of both books, protocols included, in one pass: what ``ledger_union`` gives, without texts and
+    numbers. df: all invoices, with is_sale."""
+    df = _amounts(reverse_charge_flag(df).withColumn("keep_bgn_total", ~F.col("is_sale")))
+    kind, sale, b, v = F.coalesce("doc_kind", F.lit("")), F.col("is_sale"), F.col("b"), F.col("v")
+    base, _, vop = _self_assessed()
+    due, zero = money(F.round(base * F.expr("0.20BD"), 2)), _zero()
+    nine = F.coalesce(F.exists("vat_rates", lambda r: r.between(8, 10)), F.lit(False)) | ~sale & F.coalesce((F.abs(b) > F.expr("0.01BD")) & (F.try_divide(F.abs(v), F.abs(b)) * 100).between(8, 10), F.lit(False))
+    none = (v == 0) & (b != 0)
+    pick = lambda when, c: money(F.when(when, c).otherwise(0))
+    rated = {"total_amount": F.col("t"), "tax_base_20": pick(~none & ~nine, b), "vat_20": pick(~none & ~nine, v), "tax_base_9": pick(~none & nine, b), "vat_9": pick(~none & nine, v)}
+    full = F.lit(full_credit)
+    assessed = {"total_amount": money(base + due)}
+    rows = (
+        (~sale & ~kind.isin("FISCAL_MEMORY_REPORT", "GOODS_RECEIPT"), "purchase", rated | {"tax_base_no_credit": pick(none, b)}),
+        (sale & (kind != "GOODS_RECEIPT"), "sale", rated | {"tax_base_exempt": pick(none, b)}),
+        (~sale & F.col("reverse_charge"), "purchase", assessed | {"tax_base_20": pick(full, base), "vat_20": pick(full, due), "tax_base_no_credit": pick(~full, base), "vat_special_art82": due}),
+        (~sale & F.col("reverse_charge"), "sale", assessed | {"tax_base_vop": pick(vop, base), "vat_vop": pick(vop, due), "tax_base_art82": pick(~vop, base), "vat_art82": pick(~vop, due)}),
+    )
+    names = dict.fromkeys((*PURCHASE_AMOUNTS, *SALES_AMOUNTS))
+    made = F.array(*(F.when(when, F.struct(F.lit(book).alias("book"), *(own.get(c, zero).alias(c) for c in names))) for when, book, own in rows))
+    return df.select("invoice_id", "period", F.inline(F.array_compact(made)))
+
+
 # E15
+#: Cells that are sums of one column of the sales' book.
+SALES_CELLS = {"c11": "tax_base_20", "c12": "vat_20", "c13": "tax_base_vop", "c14": "vat_vop", "c15": "tax_base_art82", "c16": "vat_art82", "c17": "tax_base_9", "c18": "vat_9", "c19": "tax_base_chapter3", "c24": "tax_base_exempt"}
+
+
 def vat_return(purchases: DataFrame, sales: DataFrame, coefficient: str = "1.00", prior: str = "0.00") -> DataFrame:
+    """``return_of`` two books."""
+    sale, buy = sales.withColumn("book", F.lit("sale")), purchases.withColumn("book", F.lit("purchase"))
+    every = dict.fromkeys((*PURCHASE_AMOUNTS, *SALES_AMOUNTS))
+    both = [df.select("period", "book", *(F.col(c) if c in df.columns else _zero().alias(c) for c in every)) for df in (sale, buy)]
+    return return_of(both[0].unionByName(both[1]), coefficient, prior)
+
+
+def return_of(rows: DataFrame, coefficient: str = "1.00", prior: str = "0.00") -> DataFrame:
     """All cells, one row a period: 12, 14, 16, 18 are the VAT of 11 (20 %), 13 (intra-EU), 15 (art. 82), 17 (9 %); 19 is chapter
-    3, 24 exempt; 43 = 40 + 41 * 42; 20 - 43 goes to 50 or 60; 80 is what 70 leaves of 50. One pass over both books."""
-    own = {"c11": "tax_base_20", "c12": "vat_20", "c13": "tax_base_vop", "c14": "vat_vop", "c15": "tax_base_art82", "c16": "vat_art82", "c17": "tax_base_9", "c18": "vat_9", "c19": "tax_base_chapter3", "c24": "tax_base_exempt"}
-    sale = sales.select("period", *(F.col(c).alias(k) for k, c in own.items()), *(_zero().alias(k) for k in ("c31", "c32", "none", "c40", "c41")), F.lit(1).alias("s"), F.lit(0).alias("p"))
-    buy = purchases.select(
-        "period", *(_zero().alias(k) for k in own), money(F.col("tax_base_20") + F.col("tax_base_9")).alias("c31"), F.col("tax_base_partial").alias("c32"), F.col("tax_base_no_credit").alias("none"),
-        money(F.col("vat_20") + F.col("vat_9")).alias("c40"), F.col("vat_partial").alias("c41"), F.lit(0).alias("s"), F.lit(1).alias("p"),
+    3, 24 exempt; 43 = 40 + 41 * 42; 20 - 43 goes to 50 or 60; 80 is what 70 leaves of 50. One aggregate over the rows of both books."""
+    of = lambda book, c: money(F.sum(F.when(F.col("book") == book, c).otherwise(0)))
+    buys = {"c31": F.col("tax_base_20") + F.col("tax_base_9"), "c32": F.col("tax_base_partial"), "none": F.col("tax_base_no_credit"), "c40": F.col("vat_20") + F.col("vat_9"), "c41": F.col("vat_partial")}
+    sums = rows.groupBy("period").agg(
+        *(of("sale", F.col(c)).alias(k) for k, c in SALES_CELLS.items()), *(of("purchase", c).alias(k) for k, c in buys.items()),
+        F.count_if(F.col("book") == "sale").alias("n_sales"), F.count_if(F.col("book") == "purchase").alias("n_purchases"),
     )
-    sums = sale.unionByName(buy).groupBy("period").agg(*(money(F.sum(c)).alias(c) for c in (*own, "c31", "c32", "none", "c40", "c41")), F.sum("s").alias("n_sales"), F.sum("p").alias("n_purchases"))
     out = sums.withColumns({
         "c01": money(F.expr("c11 + c13 + c15 + c17 + c19 + c24")), "c20": money(F.expr("c12 + c14 + c16 + c18")), "c30": money(F.expr("c31 + c32 + none")),
         "c42": F.expr(f"{coefficient}BD").cast("decimal(4,2)"), "c70": F.lit(prior).cast(MONEY),
@@ -246,7 +285,8 @@ def vat_package(purchases: DataFrame, sales: DataFrame, company: dict[str, str],
     order = F.row_number().over(W.partitionBy("period").orderBy((F.col("doc_type") == "09"), "doc_type", "doc_number", "invoice_id"))
     book = lambda df, name, amounts: df.select("period", F.lit(name).alias("file"), order.alias("seq"), book_line(amounts, fmt).alias("line"))
     out = book(buys, "POKUPKI", PURCHASE_AMOUNTS).unionByName(book(sells, "PRODAGBI", SALES_AMOUNTS))
-    return out.unionByName(return_lines(vat_return(buys, sells), company).select("period", F.lit("DEKLAR").alias("file"), (F.col("seq") + 1).alias("seq"), "line"))
+    every = purchases.withColumn("is_sale", F.lit(False)).unionByName(sales.withColumn("is_sale", F.lit(True)))
+    return out.unionByName(return_lines(return_of(book_amounts(every)), company).select("period", F.lit("DEKLAR").alias("file"), (F.col("seq") + 1).alias("seq"), "line"))
 
 
 def write_package(lines: DataFrame, path: str) -> None:

@@ -124,17 +124,13 @@ _PART = """, buys2 AS (SELECT * REPLACE ((CASE WHEN part THEN 0 ELSE tax_base_20
   FROM (SELECT *, invoice_id % 11 = 0 AS part FROM buys))"""
 
 
-def _partial(buys):
-    part = F.col("invoice_id") % 11 == 0
-    cut = {c: F.when(part, 0).otherwise(F.col(c)).cast(V.MONEY) for c in ("tax_base_20", "vat_20")} | {p: F.when(part, F.col(c)).otherwise(0).cast(V.MONEY) for p, c in (("tax_base_partial", "tax_base_20"), ("vat_partial", "vat_20"))}
-    return buys.withColumns(cut)
-
-
 @query("E15_vat_return", BOOKS + _PART + "," + _return("buys2", "0.75", "250") + " SELECT * FROM decl")
 def vat_return(spark, d):
     """A document in eleven has partial credit, at a coefficient of 0.75; 250.00 are left from before."""
-    buys, sells = _books(spark, d)
-    return V.vat_return(_partial(buys), sells, "0.75", "250.00")
+    rows, bought = V.book_amounts(A.vat_invoices(spark, d)), F.col("book") == "purchase"
+    part = bought & (F.col("invoice_id") % 11 == 0)
+    cut = {c: F.when(part, 0).otherwise(F.col(c)).cast(V.MONEY) for c in ("tax_base_20", "vat_20")} | {p: F.when(part, F.col(c)).otherwise(F.col(p)).cast(V.MONEY) for p, c in (("tax_base_partial", "tax_base_20"), ("vat_partial", "vat_20"))}
+    return V.return_of(rows.withColumns(cut), "0.75", "250.00")
 
 
 @query("E16_vat_return_audit", BOOKS + "," + _return() + """,
