@@ -74,3 +74,48 @@ def currency_vote(lines: DataFrame, dates: DataFrame) -> DataFrame:
     by_date = F.when(F.col("date_issued") >= F.lit(EURO_FROM).cast("date"), "EUR").otherwise("BGN")
     witness = F.when(said.isNotNull(), "words").when(F.col("on_total").isNotNull(), "total").when(counted.isNotNull(), "mentions").otherwise("date")
     return out.select("doc_id", F.coalesce(said, "on_total", counted, by_date).alias("currency"), witness.alias("witness"))
+
+
+#: Grounds for no VAT, in the order in which they are looked for, each by its patterns.
+VAT_GROUNDS = (
+    ("CHL_163A_REVERSE_CHARGE_SCRAP", "чл. 163а, ал. 1 от ЗДДС", ("<(чл[.]? *163 *а|163а)>.*(скрап|отпадъц|черни|цветни *метали)", "<(приложение *№? *2>|обратно +начисляване).*(скрап|отпадъц)", "<чл[.]? *163 *а *,? *ал[.]? *1>")),
+    ("CHL_163A_REVERSE_CHARGE_GRAIN", "чл. 163а, ал. 2 от ЗДДС", ("<(чл[.]? *163 *а|163а)>.*(зърн|пшениц|царевиц|слънчоглед|рапиц|ечемик)", "<(приложение *№? *2>|обратно +начисляване).*(зърн|пшениц|царевиц|слънчоглед|рапиц)", "<чл[.]? *163 *а *,? *ал[.]? *2>")),
+    ("CHL_163A_REVERSE_CHARGE", "чл. 163а от ЗДДС", ("<чл[.]? *163 *а>", "<163а *от *зддс>", "<приложение *№? *2 *от *зддс>")),
+    ("CHL_82_AL_2_REVERSE_CHARGE", "чл. 82, ал. 2 от ЗДДС", ("<чл[.]? *82 *,? *ал[.]? *2>", "<чл[.]? *82[(]2[)]", "<tax +liability +shifted>")),
+    ("REVERSE_CHARGE_GENERAL", "чл. 82 / чл. 163а от ЗДДС", ("<обратно +начисляване>", "<reverse +charge>", "<самоначисляване +на +ддс>")),
+    ("CHL_53_VOD", "чл. 53 от ЗДДС", ("<чл[.]? *53>", "<вод>", "<вътреобщностна +доставка>", "<intra-community +supply>", "<art(icle)?[.]? *138>")),
+    ("CHL_62_84_VOP", "чл. 62 / чл. 84 от ЗДДС", ("<чл[.]? *62>", "<чл[.]? *84>", "<воп>", "<вътреобщностно +придобиване>", "<intra-community +acquisition>")),
+    ("CHL_141_TRIANGULAR", "чл. 141 от ЗДДС", ("<чл[.]? *141>", "<тристранна +операция>", "<triangular +operation>", "<art(icle)?[.]? *141>")),
+    ("CHL_28_EXPORT", "чл. 28 от ЗДДС", ("<чл[.]? *28>", "<износ>", "<export>", "<доставка +извън +(ес|общността)>", "<art(icle)?[.]? *146>")),
+    ("CHL_29_31_INTL_TRANSPORT", "чл. 29, 30, 31 от ЗДДС", ("<чл[.]? *29>", "<чл[.]? *30>", "<чл[.]? *31>", "<международен +транспорт>", "<international +transport>")),
+    ("CHL_113_AL_9_NOT_REGISTERED", "чл. 113, ал. 9 от ЗДДС", ("<чл[.]? *113 *,? *ал[.]? *9>", "<чл[.]? *113[(]9[)]", "<нерегистрирано *(по *зддс)? *лице>", "<лицето +не +е +регистрирано +по +зддс>", "<доставчикът +не +е +регистриран +по +зддс>", "<не +е +рег[.]? *по *зддс>")),
+    ("EXEMPT_SUPPLY_CHAPTER_4", "Глава четвърта от ЗДДС (чл. 38 - 50)", ("<чл[.]? *46>", "<чл[.]? *47>", "<чл[.]? *45>", "<чл[.]? *38>", "<чл[.]? *39>", "<чл[.]? *41>", "<чл[.]? *50>", "<освободена +доставка>", "<финансови +услуги>", "<застрахователни +услуги>")),
+    ("EU_DIRECTIVE_2006_112", "Директива 2006/112/ЕО", ("<directive +2006/112(/ec)?>", "<директива +2006/112(/ео)?>", "<art(icle)?[.]? *196>")),
+    ("EXPLICIT_STATUTORY_GROUNDS", "чл. 114, ал. 1, т. 11 от ЗДДС", ("<основание +за +(неначисляване|прилагане +на +нулева +ставка|0% *ддс|нулево +ддс) *[-:.]? *[^;,]{3,80}", "<правно +основание *[-:.]? *[^;,]{3,80}")),
+)
+FOREIGN_GROUND = ("CHL_82_AL_2_FOREIGN", "чл. 82, ал. 2 от ЗДДС")
+#: Every pattern holds one of these stems, so a text without any is tested once.
+GROUND_STEMS = ("чл", "163а", "приложение", "начисляване", "liability", "charge", "вод", "вътреобщностн", "intra-community", "art", "воп", "тристранна", "triangular", "износ", "export", "доставка", "транспорт", "transport", "регистриран", "рег", "услуги", "directive", "директива", "основание")
+
+
+# H11
+def check_vat_grounds(df: DataFrame) -> DataFrame:
+    """invoice_id, is_zero (no VAT is charged), is_valid, code, article and issue. Without VAT (zero, a rate of zero, or none read and no room for it in the total) the text must
+    name a ground: the first of ``VAT_GROUNDS`` counts; else a supplier with a foreign VAT number has one; else it is an error.
+
+    df: invoice_id, tax_base, vat, total, rate (of the items, may be null), text, supplier_vat. Each distinct text of such invoices is searched once, and only
+    if it holds one of the stems.
+    """
+    base, vat, total, rate = (F.col(c) for c in ("tax_base", "vat", "total", "rate"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    zero = yes(vat == 0) | yes(rate == 0) | yes((base > 0) & vat.isNull()) & ~yes(total > base + F.expr("0.05BD")) & ~yes(rate > 0)
+    own = df.select("invoice_id", zero.alias("is_zero"), F.when(zero, F.lower(F.coalesce("text", F.lit("")))).alias("low"), F.upper(F.coalesce("supplier_vat", F.lit(""))).alias("number"))
+    at = F.lit(None).cast("int")
+    for i, (_, _, patterns) in reversed(list(enumerate(VAT_GROUNDS))):
+        at = F.when(_says(F.col("low"), patterns), i).otherwise(at)
+    texts = own.where("low <> ''").select("low").distinct().where(F.col("low").rlike("|".join(GROUND_STEMS))).withColumn("at", at)
+    out = own.join(texts, "low", "left")
+    foreign = F.col("at").isNull() & F.col("number").rlike(r"^\p{L}{2}..") & ~F.col("number").startswith("BG")
+    pick = lambda j: F.when(F.col("is_zero"), F.when(foreign, FOREIGN_GROUND[j]).otherwise(F.get(F.array(*(F.lit(g[j]) for g in VAT_GROUNDS)), F.col("at"))))
+    missing = F.col("is_zero") & F.col("at").isNull() & ~foreign
+    return out.select("invoice_id", "is_zero", (~missing).alias("is_valid"), pick(0).alias("code"), pick(1).alias("article"), F.when(missing, "MISSING_VAT_EXEMPTION_REASON").alias("issue"))

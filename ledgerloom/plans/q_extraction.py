@@ -43,3 +43,29 @@ FROM invoices LEFT JOIN o ON o.doc_id = invoice_id""")
 def currency_vote(spark, d):
     dates = A.invoices(spark, d).select(F.col("invoice_id").alias("doc_id"), "date_issued")
     return X.currency_vote(currency_lines(spark, d), dates)
+
+
+#: Texts of invoices by the remainder of their id by 19; those without a ground are the rest.
+GROUND_TEXTS = (
+    "Скрап съгласно чл. 163а, ал. 1", "Пшеница, чл.163 а от ЗДДС", "Чл. 163а", "чл.82, ал. 2 от ЗДДС", "Reverse charge applies", "ВОД към Германия", "Вътреобщностно придобиване", "Тристранна операция", "Износ за Сърбия",
+    "Международен транспорт", "Лицето не е регистрирано по ЗДДС", "Освободена доставка", "Article 196", "Основание за неначисляване: друг текст", "Заводска доставка", "Обикновен текст",
+)
+_TEXTS = ", ".join(f"({i}, '{t}')" for i, t in enumerate(GROUND_TEXTS))
+_GROUNDS = "CASE " + " ".join(f"WHEN {_ANY('low', ps)} THEN {i}" for i, (_, _, ps) in enumerate(X.VAT_GROUNDS)) + " END"
+_NAMED = ", ".join(f"({i}, '{c}', '{a}')" for i, (c, a, _) in enumerate(X.VAT_GROUNDS))
+
+
+@query("H11_check_vat_grounds", f"""WITH {A.DUCK_VAT}, tx(r, txt) AS (VALUES {_TEXTS}), gr(i, code, article) AS (VALUES {_NAMED}),
+g0 AS (SELECT invoice_id, tax_base AS b, CASE WHEN invoice_id % 3 = 0 THEN 0 WHEN invoice_id % 5 = 0 THEN NULL ELSE vat END AS v, CASE WHEN invoice_id % 10 = 5 THEN tax_base ELSE total END AS t, CASE WHEN invoice_id % 7 = 1 THEN 0 WHEN invoice_id % 7 = 2 THEN 20 END AS rate, coalesce(txt, '') || ' ' || coalesce(note, '') AS txt, supplier_vat FROM vinv LEFT JOIN tx ON invoice_id % 19 = r),
+g1 AS (SELECT *, coalesce(v = 0, false) OR coalesce(rate = 0, false) OR coalesce(b > 0 AND v IS NULL, false) AND NOT coalesce(t > b + 0.05, false) AND NOT coalesce(rate > 0, false) AS z, ' ' || replace(lower(txt), ' ', '  ') || ' ' AS low FROM g0),
+g2 AS (SELECT *, CASE WHEN z THEN {_GROUNDS} END AS gi FROM g1), g3 AS (SELECT *, z AND gi IS NULL AND regexp_matches(upper(coalesce(supplier_vat, '')), '^\\p{{L}}{{2}}..') AND NOT starts_with(upper(supplier_vat), 'BG') AS fo FROM g2)
+SELECT invoice_id, z AS is_zero, NOT (z AND gi IS NULL AND NOT fo) AS is_valid, CASE WHEN fo THEN '{X.FOREIGN_GROUND[0]}' ELSE code END AS code, CASE WHEN fo THEN '{X.FOREIGN_GROUND[1]}' ELSE article END AS article, CASE WHEN z AND gi IS NULL AND NOT fo THEN 'MISSING_VAT_EXEMPTION_REASON' END AS issue FROM g3 LEFT JOIN gr ON gr.i = gi""")
+def check_vat_grounds(spark, d):
+    """Every third invoice without VAT, every fifth where none was read, with and without grounds in their texts."""
+    k, money = F.col("invoice_id"), "decimal(18,2)"
+    text = F.get(F.array(*(F.lit(t) for t in GROUND_TEXTS)), (k % 19).cast("int"))
+    df = A.vat_invoices(spark, d).select(
+        "invoice_id", "tax_base", F.when(k % 3 == 0, 0).when(k % 5 == 0, None).otherwise(F.col("vat")).cast(money).alias("vat"), F.when(k % 10 == 5, F.col("tax_base")).otherwise(F.col("total")).cast(money).alias("total"),
+        F.when(k % 7 == 1, 0).when(k % 7 == 2, 20).alias("rate"), F.concat(F.coalesce(text, F.lit("")), F.lit(" "), F.coalesce("note", F.lit(""))).alias("text"), "supplier_vat",
+    )
+    return X.check_vat_grounds(df)
