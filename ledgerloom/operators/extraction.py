@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+
 #: What names each currency in words, on a line of totals, and anywhere; misread forms included. ``<`` and ``>`` are the ends of a word.
 BGN_IN_WORDS = ("<(лева|лев|стотинк[а-я]*|лв[.]?|bgn|бгн|bgr|бгр|bom|вом)>",)
 EUR_IN_WORDS = ("<(евро|евроцент[а-я]*|цента|euro|eob|еоб|eub|еуб)>", "[а-яa-z0-9_]*евро[а-яa-z0-9_]*", "(<|[0-9])(е[.]ц[.]?|ец|еш[?]?)>")
@@ -119,3 +122,55 @@ def check_vat_grounds(df: DataFrame) -> DataFrame:
     pick = lambda j: F.when(F.col("is_zero"), F.when(foreign, FOREIGN_GROUND[j]).otherwise(F.get(F.array(*(F.lit(g[j]) for g in VAT_GROUNDS)), F.col("at"))))
     missing = F.col("is_zero") & F.col("at").isNull() & ~foreign
     return out.select("invoice_id", "is_zero", (~missing).alias("is_valid"), pick(0).alias("code"), pick(1).alias("article"), F.when(missing, "MISSING_VAT_EXEMPTION_REASON").alias("issue"))
+
+
+#: Cyrillic letters that look like Latin ones, and misread starts of account numbers, in the order of their replacement.
+LOOK_ALIKES = ("АВСЕНІКМОРТХавсенікмортх", "ABCEHIKMOPTXabcehikmoptx")
+MISREAD = (
+    ("В[6О0БB]", "BG"), ("в[6о0бb]", "BG"), ("вВа", "BG"), ("ПВВ[8З3B]", "UBBS"), ("ВРВ[Г1IB]", "BPBI"), ("РКСВ", "PRCB"), ("ОМС[ВB]", "UNCR"), (r"\[ШСК", "UNCR"), ("ШЧС[ВB]", "UNCR"), ("З5ТЗ5А", "STSA"), ("5Т5А", "STSA"),
+)
+#: The bank of each code in an account number.
+BANKS = {
+    "UBBS": ("UBBSBGSF", "Обединена българска банка АД"), "BPBI": ("BPBIBGSF", "Юробанк България АД"), "PRCB": ("PRCBBGSF", "ПроКредит Банк (България) ЕАД"), "UNCR": ("UNCRBGSF", "УниКредит Булбанк АД"),
+    "STSA": ("STSABGSF", "Банка ДСК АД"), "FINV": ("FINVBGSF", "Първа инвестиционна банка АД"), "RZBB": ("RZBBBGSF", "Райфайзенбанк (България) ЕАД"), "TTBB": ("TTBBBGSF", "Тексим Банк АД"),
+    "CEKO": ("CEKOBGSF", "Централна кооперативна банка АД"), "BUIN": ("BUINBGSF", "Инвестбанк АД"), "BACX": ("BACXBGSF", "Българо-американска кредитна банка АД"), "IORT": ("IORTBGSF", "Интернешънъл Асет Банк АД"),
+    "BNBG": ("BNBGBGSF", "Българска народна банка"),
+}
+#: Adjacent tokens that may hold one account number.
+MOST_TOKENS = 7
+
+
+def account_number(run: Column) -> Column:
+    """Letters and digits of glued tokens with misread and look-alike letters put right."""
+    for pattern, right in MISREAD:
+        run = F.regexp_replace(run, pattern, right)
+    bare = F.regexp_replace(F.upper(F.translate(run, *LOOK_ALIKES)), "[^A-Z0-9]", "")
+    return F.regexp_replace(bare, "IBAN|TBAM|PBAM", "")
+
+
+# M05
+def extract_payment(tokens: DataFrame) -> DataFrame:
+    """doc_id, iban, iban_valid, bank_code, bic, bank_name and method for each document with tokens.
+
+    Runs of one to seven adjacent tokens are glued and put right; one of 22 signs that starts with BG and passes the check sum is the IBAN, the shortest, then the first one; else the
+    first that has an IBAN's form (not valid). A BIC stands behind its label, else it and the bank's name follow from the IBAN. method: by bank, else in cash.
+
+    tokens: doc_id, page, i, text. Only runs whose first token can start an account number or its label are put right; a run holds seven tokens at most.
+    """
+    w = W.partitionBy("doc_id").orderBy("page", "i")
+    t = tokens.select("doc_id", F.row_number().over(w).alias("at"), *(F.col("text").alias("x0") if k == 0 else F.lead("text", k).over(w).alias(f"x{k}") for k in range(MOST_TOKENS)))
+    starts = F.upper("x0").rlike("^[^A-ZА-Я0-9]*([BВ]|IBAN|TBAM|PBAM|ПВАМ|ТВАМ)")
+    runs = F.transform(F.sequence(F.lit(1), F.lit(MOST_TOKENS)), lambda n: F.struct(n.alias("n"), account_number(F.array_join(F.slice(F.array(*(F.coalesce(f"x{k}", F.lit("")) for k in range(MOST_TOKENS))), 1, n), "")).alias("c")))
+    shaped = F.filter(runs, lambda r: r["c"].rlike("^BG[0-9]{2}[A-Z]{4}[0-9]{4}[0-9A-Z]{10}$"))
+    cand = t.where(starts).select("doc_id", "at", F.explode(shaped).alias("r")).select("doc_id", "at", "r.n", F.col("r.c").alias("iban")).withColumn("valid", S.iban_mod97(F.col("iban")))
+    best = cand.groupBy("doc_id").agg(F.min_by(F.struct("iban", "valid"), F.struct(~F.col("valid"), "n", "at")).alias("b"))
+    near = F.upper(F.translate(F.concat_ws(" ", "x0", "x1", "x2"), *LOOK_ALIKES))
+    bic = F.nullif(F.regexp_extract(near, r"^(?:BIC|SWIFT|БИК)\s*[:./-]?\s*([A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?)(?![A-Z0-9])", 1), F.lit(""))
+    pair = F.lower(F.concat_ws(" ", "x0", "x1"))
+    said = t.select("doc_id", "at", bic.alias("bic"), pair.rlike(r"банков\s*(път|превод)").alias("bank"), pair.rlike(r"^в\s*брой").alias("cash"))
+    said = said.groupBy("doc_id").agg(F.min_by("bic", F.when(F.col("bic").isNotNull(), F.col("at"))).alias("said_bic"), F.max("bank").alias("bank"), F.max("cash").alias("cash"))
+    code = F.substring("b.iban", 5, 4)
+    of_bank = lambda j: F.try_element_at(F.create_map(*(F.lit(x) for k, v in BANKS.items() for x in (k, v[j]))), code)
+    out = said.join(best, "doc_id", "left")
+    method = F.when(F.col("bank"), "банков превод").when(F.col("cash"), "в брой")
+    return out.select("doc_id", F.col("b.iban").alias("iban"), F.coalesce("b.valid", F.lit(False)).alias("iban_valid"), code.alias("bank_code"), F.coalesce("said_bic", of_bank(0)).alias("bic"), of_bank(1).alias("bank_name"), method.alias("method"))

@@ -69,3 +69,50 @@ def check_vat_grounds(spark, d):
         F.when(k % 7 == 1, 0).when(k % 7 == 2, 20).alias("rate"), F.concat(F.coalesce(text, F.lit("")), F.lit(" "), F.coalesce("note", F.lit(""))).alias("text"), "supplier_vat",
     )
     return X.check_vat_grounds(df)
+
+
+_CODES = ("UBBS", "STSA", "UNCR", "FINV", "QQQQ")
+
+
+def payment_tokens(spark, d):
+    """Tokens of each invoice with its supplier's account: whole, in fours, with look-alike letters, with a wrong digit, none, or in two parts; with and without BIC and method."""
+    k, s = F.col("invoice_id"), F.coalesce("supplier_id", F.lit(0))
+    code = F.get(F.array(*(F.lit(c) for c in _CODES)), (s % 5).cast("int"))
+    rest = F.lpad((s * 982451653 + 7).cast("string"), 14, "0")
+    digits = F.array_join(F.transform(F.split(code, ""), lambda c: F.when(c == "", "").otherwise((F.ascii(c) - 55).cast("string"))), "")
+    check = F.lpad((98 - F.concat(digits, rest, F.lit("111600")).cast("decimal(38,0)") % 97).cast("int").cast("string"), 2, "0")
+    inv = A.invoices(spark, d).select("invoice_id", code.alias("code"), F.concat(F.lit("BG"), check, code, rest).alias("iban"))
+    fours = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda j: F.substr("iban", j * 4 + 1, F.lit(4)))
+    wrong = F.concat(F.left("iban", F.lit(21)), ((F.right("iban", F.lit(1)).cast("int") + 1) % 10).cast("string"))
+    alike = F.concat(F.lit("В6"), F.translate(F.substr("iban", F.lit(3)), "BCTH", "ВСТН"))
+    account = F.when(k % 6 == 0, F.array("iban")).when(k % 6 == 1, fours).when(k % 6 == 2, F.array(alike)).when(k % 6 == 3, F.array(wrong)).when(k % 6 == 5, F.array(F.concat(F.left("iban", F.lit(10)), F.lit(".")), F.substr("iban", F.lit(11)))).otherwise(F.array())
+    more = F.when(k % 4 == 0, F.array(F.lit("BIC:"), F.concat("code", F.lit("BGSF")))).otherwise(F.array())
+    how = F.when(k % 3 == 0, F.array(F.lit("по"), F.lit("банков"), F.lit("път"))).when(k % 3 == 1, F.array(F.lit("в"), F.lit("брой"))).otherwise(F.array())
+    words = F.concat(F.array(F.lit("Плащане:"), F.lit("Бенефициент"), F.lit("IBAN:")), account, F.array(F.lit("до"), F.lit("10"), F.lit("дни")), more, how)
+    return inv.select(k.alias("doc_id"), F.lit(1).alias("page"), F.posexplode(words).alias("i", "text"))
+
+
+_N97 = lambda c: f"(array_to_string(list_transform(string_split(substr({c}, 5) || left({c}, 4), ''), lambda x: CASE WHEN x BETWEEN '0' AND '9' THEN x ELSE (ascii(x) - 55)::VARCHAR END), '')::HUGEINT % 97)"
+_RIGHT = "c0"
+for _p, _r in X.MISREAD:
+    _RIGHT = f"regexp_replace({_RIGHT}, '{_p}', '{_r}', 'g')"
+_RIGHT = f"regexp_replace(regexp_replace(upper(translate({_RIGHT}, '{X.LOOK_ALIKES[0]}', '{X.LOOK_ALIKES[1]}')), '[^A-Z0-9]', '', 'g'), 'IBAN|TBAM|PBAM', '', 'g')"
+_BANKS = ", ".join(f"('{k}', '{b}', '{n}')" for k, (b, n) in X.BANKS.items())
+
+
+@query("M05_extract_payment", f"""WITH {A.DUCK_INVOICES}, bk(code, bank_bic, bank_name) AS (VALUES {_BANKS}),
+q0 AS (SELECT invoice_id AS k, [{', '.join(f"'{c}'" for c in _CODES)}][coalesce(supplier_id, 0) % 5 + 1] AS code, lpad((coalesce(supplier_id, 0) * 982451653 + 7)::VARCHAR, 14, '0') AS rest FROM invoices),
+q1 AS (SELECT k, code, 'BG' || lpad((98 - {_N97("('BG00' || code || rest)")})::VARCHAR, 2, '0') || code || rest AS iban FROM q0),
+q2 AS (SELECT k, code, ['Плащане:', 'Бенефициент', 'IBAN:'] || CASE k % 6 WHEN 0 THEN [iban] WHEN 1 THEN [substr(iban, 1, 4), substr(iban, 5, 4), substr(iban, 9, 4), substr(iban, 13, 4), substr(iban, 17, 4), substr(iban, 21, 4)] WHEN 2 THEN ['В6' || translate(substr(iban, 3), 'BCTH', 'ВСТН')]
+  WHEN 3 THEN [left(iban, 21) || ((right(iban, 1)::INT + 1) % 10)::VARCHAR] WHEN 5 THEN [left(iban, 10) || '.', substr(iban, 11)] ELSE []::VARCHAR[] END || ['до', '10', 'дни'] || CASE WHEN k % 4 = 0 THEN ['BIC:', code || 'BGSF'] ELSE []::VARCHAR[] END
+  || CASE k % 3 WHEN 0 THEN ['по', 'банков', 'път'] WHEN 1 THEN ['в', 'брой'] ELSE []::VARCHAR[] END AS ws FROM q1),
+r0 AS (SELECT k, ws, pos, unnest(range(1, 8)) AS n FROM (SELECT k, ws, unnest(range(1, len(ws) + 1)) AS pos FROM q2)),
+r1 AS (SELECT k, pos, n, array_to_string(list_slice(ws, pos, pos + n - 1), '') AS c0 FROM r0 WHERE regexp_matches(upper(ws[pos]), '^[^A-ZА-Я0-9]*([BВ]|IBAN|TBAM|PBAM|ПВАМ|ТВАМ)')),
+r2 AS (SELECT k, pos, n, {_RIGHT} AS c FROM r1),
+r3 AS (SELECT k, pos, n, c, {_N97('c')} = 1 AS ok FROM r2 WHERE regexp_full_match(c, 'BG[0-9]{{2}}[A-Z]{{4}}[0-9]{{4}}[0-9A-Z]{{10}}')),
+r4 AS (SELECT k, arg_min(c, (NOT ok)::INT * 1000000 + n * 10000 + pos) AS iban, bool_or(ok) AS ok FROM r3 GROUP BY k),
+sb AS (SELECT k, upper(translate(array_to_string(ws, ' '), '{X.LOOK_ALIKES[0]}', '{X.LOOK_ALIKES[1]}')) AS up, lower(array_to_string(ws, ' ')) AS low FROM q2)
+SELECT sb.k AS doc_id, iban, coalesce(ok, false) AS iban_valid, substr(iban, 5, 4) AS bank_code, coalesce(nullif(regexp_extract(up, '(^| )(BIC|SWIFT)[ ]*[:./-]?[ ]*([A-Z]{{6}}[A-Z0-9]{{2}}([A-Z0-9]{{3}})?)( |$)', 3), ''), bank_bic) AS bic, bank_name,
+  CASE WHEN regexp_matches(low, 'банков *(път|превод)') THEN 'банков превод' WHEN regexp_matches(low, '(^| )в *брой') THEN 'в брой' END AS method FROM sb LEFT JOIN r4 ON r4.k = sb.k LEFT JOIN bk ON bk.code = substr(iban, 5, 4)""")
+def extract_payment(spark, d):
+    return X.extract_payment(payment_tokens(spark, d))

@@ -142,3 +142,34 @@ def test_currency(spark, lines, date, want):
     rows = spark.createDataFrame([(1, 1, i, t) for i, t in enumerate(lines)], "doc_id long, page int, line int, text string")
     dates = spark.createDataFrame([(1, date and datetime.date.fromisoformat(date))], "doc_id long, date_issued date")
     assert [r["currency"] for r in X.currency_vote(rows, dates).collect()] == [want]
+
+
+def test_vat_grounds(spark):
+    rows = [
+        (1, "100.00", "20.00", "120.00", 20, "", "BG1"), (2, "100.00", "0.00", "100.00", None, "Метален скрап, чл. 163а, ал. 1 от ЗДДС", "BG1"), (3, "100.00", "0.00", "100.00", None, "по чл. 163 а, пшеница", "BG1"),
+        (4, "100.00", "0.00", "100.00", None, "Reverse   charge", "BG1"), (5, "100.00", None, "100.00", None, "Заводска продажба", "DE123"), (6, "100.00", None, "120.00", None, "", "BG1"), (7, "100.00", "0.00", "100.00", None, "Заводска продажба", "BG1"),
+        (8, "100.00", "0.00", "100.00", None, "обратно начисляване по чл. 82, ал. 2", None), (9, "100.00", "20.00", "120.00", 0, "износ", None), (10, None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "invoice_id long, tax_base string, vat string, total string, rate int, text string, supplier_vat string")
+    df = df.withColumns({c: F.col(c).cast("decimal(18,2)") for c in ("tax_base", "vat", "total")})
+    got = {r["invoice_id"]: (r["is_zero"], r["is_valid"], r["code"]) for r in X.check_vat_grounds(df).collect()}
+    assert got == {
+        1: (False, True, None), 2: (True, True, "CHL_163A_REVERSE_CHARGE_SCRAP"), 3: (True, True, "CHL_163A_REVERSE_CHARGE_GRAIN"), 4: (True, True, "REVERSE_CHARGE_GENERAL"), 5: (True, True, "CHL_82_AL_2_FOREIGN"),
+        6: (False, True, None), 7: (True, False, None), 8: (True, True, "CHL_82_AL_2_REVERSE_CHARGE"), 9: (True, True, "CHL_28_EXPORT"), 10: (False, True, None),
+    }
+
+
+def test_payment(spark):
+    docs = {
+        1: "IBAN: BG80 BNBG 9661 1020 3456 78 BIC: BNBGBGSD по банков път",  # the statutory example of a valid number
+        2: "IBAN BG80BNBG96611020345679 в брой",  # a wrong digit
+        3: "сметка В680ВNВG96611020345678",
+        4: "нищо",
+        5: "BG80BNBG9661102034 5679 BG80BNBG96611020345678",  # the valid one counts, not the first
+    }
+    rows = [(d, 1, i, w) for d, t in docs.items() for i, w in enumerate(t.split())]
+    got = {r["doc_id"]: tuple(r)[1:] for r in X.extract_payment(spark.createDataFrame(rows, "doc_id long, page int, i int, text string")).collect()}
+    good = "BG80BNBG96611020345678"
+    assert got[1] == (good, True, "BNBG", "BNBGBGSD", "Българска народна банка", "банков превод")
+    assert got[2] == ("BG80BNBG96611020345679", False, "BNBG", "BNBGBGSF", "Българска народна банка", "в брой")
+    assert got[3][:2] == (good, True) and got[4] == (None, False, None, None, None, None) and got[5][:2] == (good, True)
