@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -343,6 +344,18 @@ def test_tokenizer_words_match_whole_texts():
         assert np.frombuffer(own([text])[0], dtype="<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_range_coder_memory():
+    """A segment's coder has to fit beside the executor's heap (pipeline, last stage)."""
+    ids = (np.random.default_rng(2).zipf(1.2, 1 << 19) % 40000).astype(np.uint16)
+    for step in (rangecoder.encode, rangecoder.decode):
+        tracemalloc.start()
+        data = step(ids if step is rangecoder.encode else data)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 24 * len(ids)
+    assert (data == ids).all()
+
+
 def test_other_tokenizers_encode_whole_texts():
     import public_tokenizers
     from tokenizers import Tokenizer
