@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,10 @@ ships(__name__)
 END, SEGMENT = 1, 1 << 22
 SCHEMA = "part int, seg int, doc_ids array<long>, lens array<long>, data binary"
 _KNOWN, _MARK = 1 << 19, "<|endoftext|>"
-_MARKS = frozenset(".,;:!?")
+#: A word of Latin letters, whose lower case is one to one and which NFC leaves as they are, with ASCII signs around it that start no token of their own.
+_LATIN = re.compile(r"""([!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)([A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+)([!-/:-@\[-`{-~]*)""")
+#: Texts that are encoded together.
+_TEXTS = 64
 #: Offsets of at most this many segments are broadcast.
 MAX_BROADCAST_SEGMENTS = 500_000
 
@@ -51,6 +55,13 @@ def splits_at_blanks(tokenizer) -> bool:
     )
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes from 128 on in a byte-level vocabulary."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(256 + i) for i, b in enumerate(others) if b > 127}
+
+
 class Encoder:
     """Ids as uint16 bytes. If words between blanks never merge, each distinct one is encoded once and kept; else whole texts are encoded."""
 
@@ -58,7 +69,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.by_word = splits_at_blanks(self.tokenizer)
         self.mark = self.tokenizer.token_to_id(_MARK)
         if self.tokenizer.get_vocab_size() > 65536:
@@ -78,33 +90,40 @@ class Encoder:
             for w, end in zip(part, ends):
                 self.known[w], start = raw[start:end], end + 2
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of what the tokenizer does not cut further: lower-case Latin letters, or ASCII signs."""
+        ids = self.known.get(piece) or self.older.get(piece)
+        if ids is None:
+            asked = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
+            ids = self.known[piece] = b"".join([t.id.to_bytes(2, "little") for t in self.model.tokenize(asked)])
+        return ids
+
     def learn(self, words: list[str]) -> None:
-        """A word of ASCII letters has its lower-cased form's ids, and one mark after it adds that mark's own."""
-        known, plain, rest = self.known, {}, []
+        """A word of Latin letters has the ids of its lower-cased letters, and signs around it add their own."""
+        known, older, piece, rest = self.known, self.older, self._piece, []
         for w in words:
-            stem, end = (w[:-1], w[-1:]) if w[-1:] in _MARKS else (w, "")
-            if stem.isascii() and stem.isalpha():
-                plain[w] = stem.lower(), end
-            else:
-                rest.append(w)
-        self._encode([w for w in {x for pair in plain.values() for x in pair}.union(rest) if w not in known])
-        for w, (stem, end) in plain.items():
-            known[w] = known[stem] + known[end]
+            if (ids := older.get(w)) is None:
+                if not (latin := _LATIN.fullmatch(w)):
+                    rest.append(w)
+                    continue
+                before, stem, after = latin.groups()
+                ids = piece(stem.lower())
+                if after:
+                    ids += piece(after)
+                if before:
+                    ids = piece(before) + ids
+            known[w] = ids
+        self._encode(rest)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        out, known = [], self.known
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            try:
-                out.append(b"".join([known[w] for w in words]))
-            except KeyError:
-                if len(known) > _KNOWN:
-                    known.clear()
-                self.learn(list({w for w in words if w not in known}))
-                out.append(b"".join([known[w] for w in words]))
-        return out
+        if len(self.known) > _KNOWN // 2:  # words that aren't met again go when the next half is full
+            self.known, self.older = {}, self.known
+        words = [text.replace("\n", " ").split(" ") for text in texts]
+        if new := set().union(*words).difference(self.known):
+            self.learn(list(new))
+        return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, partitions: int | None = None) -> None:
@@ -121,15 +140,17 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, partitions: int | None
             return pd.DataFrame({"part": [part], "seg": [seg], "doc_ids": [docs_], "lens": [lens], "data": [data]})
 
         for pdf in batches:
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                got = encode([text])[0] + end
-                docs_.append(None if pd.isna(doc) else int(doc))
-                lens.append(len(got) // 2)
-                ids.append(got)
-                held += len(got) // 2
-                if held >= SEGMENT:
-                    yield row()
-                    docs_, lens, ids, held, seg = [], [], [], 0, seg + 1
+            all_docs, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
+            for i in range(0, len(texts), _TEXTS):
+                for doc, got in zip(all_docs[i : i + _TEXTS], encode(texts[i : i + _TEXTS])):
+                    got += end
+                    docs_.append(None if pd.isna(doc) else int(doc))
+                    lens.append(len(got) // 2)
+                    ids.append(got)
+                    held += len(got) // 2
+                    if held >= SEGMENT:
+                        yield row()
+                        docs_, lens, ids, held, seg = [], [], [], 0, seg + 1
         if docs_:
             yield row()
 

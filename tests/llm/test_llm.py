@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import string
 import tracemalloc
 import zlib
 
@@ -356,6 +357,30 @@ def test_range_coder_memory():
     assert (data == ids).all()
 
 
+def test_words_of_latin_letters_skip_the_splitter():
+    from tokenizers import Tokenizer
+
+    class Counting:
+        """The tokenizer, and the texts it was given whole."""
+
+        def __init__(self, inner):
+            self.inner, self.texts = inner, []
+
+        def encode(self, text, **kw):
+            self.texts.append(text)
+            return self.inner.encode(text, **kw)
+
+    path = queries.tokenizer_path()
+    plain, own = Tokenizer.from_file(path), tokenids.Encoder(path)
+    own.tokenizer = Counting(own.tokenizer)
+    signs = ["", *string.punctuation, "$$$", "...", "<|", "|>"]
+    latin = [a + w + b for a in signs for b in signs for w in ("s", "Endoftext", "Ère", "straße", "ŒUVRE") if not set(a) & set("'<")]
+    texts = [" ".join(latin), "".join(map(chr, range(0x250))), *(f"{a}{w}{b}" for a in ("'", "<|") for b in ("|>", "'s") for w in ("s", "endoftext")), *map(chr, range(0x250))]
+    got = [np.frombuffer(x, dtype="<u2").tolist() for x in own(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not {w for t in own.tokenizer.texts for w in t.split("<|endoftext|>")} & (set(latin) - set(signs))
+
+
 def test_other_tokenizers_encode_whole_texts():
     import public_tokenizers
     from tokenizers import Tokenizer
