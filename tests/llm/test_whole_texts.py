@@ -45,6 +45,35 @@ def test_lm_weights_are_carried_through_a_text():
     assert np.allclose(bits + np.array([x.sum() for x in deep]), want, rtol=1e-4)
 
 
+def test_lm_passes_read_stored_symbols(spark):
+    """Symbols are made once; counts and what is left out of them are those of a plain version."""
+    rng, slots, sc = np.random.default_rng(12), 1 << 12, spark.sparkContext
+    words = [b"a", b"b", "ö".encode(), b"d"]
+    c = lmscore.make_code(words, [50, 30, 10, 5], 20, 7, np.array([5, 2, 1, 1]))
+    texts = [" ".join(rng.choice(["A", "b", "ö", "d", "new", "\ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16")], n)) for n in (3, 300, 0, 70)]
+    docs = spark.createDataFrame([(i, i == 1, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string")
+    found = {r["doc_id"]: r for r in lmscore.symbols(docs, sc.broadcast(c)).collect()}
+    want = np.zeros((2, slots, 2))
+    for i, text in enumerate(texts):
+        said = [w.encode().lower() for w in text.split()]
+        sym = np.array([5 + words.index(w) if w in words else lmscore.bucket_of(w, 4) for w in said] + [4])
+        r = found[i]
+        assert (lmscore._unpack(bytes(r["sym"])) == sym).all() and [bytes(w) for w in r["escaped"]] == [w for w in said if w not in words]
+        assert r["n_bytes"] == len(text.encode()) + 1 and r["held_out"] == (i == 1)
+        _, place, where = lmscore._decisions(sym, *lmscore._before(sym, np.array([0]), 4), c, slots)
+        for o in (0, 1):
+            np.add.at(want[o], (where[o], c["bit"][place]), 1)
+    counts = lmscore.train_counts(lmscore.symbols(docs, sc.broadcast(c)).repartition(3), sc.broadcast(c), slots)
+    assert (counts == want).all() and counts.sum() > 2000
+    left = lmscore._left_out(counts)
+    for o, slot, bit in zip(*np.nonzero(counts)):
+        logit, seen = lmscore.predictors(counts[o, slot] - np.array([bit == 0, bit == 1]))
+        at = left[o, 2 * slot + bit : 2 * slot + bit + 1]
+        assert np.isclose(at.view(np.float32)[0], logit, atol=1e-5) and at[0] & 7 == seen
+    big = np.array([0, 1, 65535, 65536, (1 << 17) + (1 << 16)], dtype=np.uint32)
+    assert (lmscore._unpack(lmscore._pack(big)) == big).all()
+
+
 def plain_shape(word):
     hint = any(x in word.lower() for x in (b"pass", b"secret", b"token", b"key", b"akia", b"auth", b"bearer", b"pwd", b"credential"))
     end = 1 if word[-1:] in (b":", b"=") else 2 if b"=" in word or b":" in word else 0
