@@ -44,6 +44,14 @@ def _identifier(c: Column) -> Column:
     return F.when(kept == "", UNKNOWN).otherwise(kept)
 
 
+def _share(part: Column, of: Column, whole: Column) -> Column:
+    """part * of / whole of amounts that aren't negative, half up; null if the whole is null or 0. In whole cents, as a quotient of decimals is rounded to six places first."""
+    cents = lambda c: (c.cast(MONEY) * 100).cast("decimal(18,0)")
+    x = F.struct((cents(part) * cents(of)).alias("made"), F.nullif(cents(whole), F.lit(0)).alias("whole"))
+    half_up = lambda s: F.call_function("div", s["made"] * 2 + s["whole"], s["whole"] * 2)
+    return S._let(x, half_up) * F.expr("0.01BD")
+
+
 def _amounts(df: DataFrame) -> DataFrame:
     """Adds t, b, v (signed, in leva) and nine_line. A total in leva decides where another currency has one."""
     cur = F.upper(F.coalesce("currency", F.lit("")))
@@ -53,7 +61,7 @@ def _amounts(df: DataFrame) -> DataFrame:
     out = {}
     for k, c in raw.items():
         eur = S.eur_to_bgn(c) if k != "t" else F.when(given & F.col("keep_bgn_total"), F.col("total_bgn")).otherwise(S.eur_to_bgn(c))
-        other = F.when(given, F.col("total_bgn") if k == "t" else F.coalesce(F.round(F.try_divide(c * F.col("total_bgn"), raw["t"]), 2), c)).otherwise(c)
+        other = F.when(given, F.col("total_bgn") if k == "t" else F.coalesce(_share(c, F.col("total_bgn"), raw["t"]), c)).otherwise(c)
         out[k] = money(F.when(cur == "EUR", eur).when(cur.isin("BGN", ""), c).otherwise(other) * sign)
     return df.withColumns(out)
 

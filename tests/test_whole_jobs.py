@@ -6,7 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import layout
+from ledgerloom.operators import layout, vat
 from ledgerloom.plans import catalogue
 from ledgerloom.sources import adapters
 
@@ -51,3 +51,15 @@ def test_partner_queries_keep_all_partners(spark):
     assert {r["eik"] for r in catalogue.QUERIES["K09_upsert_partners"](spark, SF).collect()} == eiks
     assert {r["eik"] for r in catalogue.QUERIES["L02_update_profiles"](spark, SF).collect()} == {r["eik"] for r in p.collect()}
     assert catalogue.QUERIES["K09_upsert_partners"](spark, SF).count() == len(eiks) and catalogue.QUERIES["L02_update_profiles"](spark, SF).count() == p.count()
+
+
+def test_amounts_that_follow_a_total_in_leva_are_rounded_once(spark):
+    """1.00 * 1.50 / 300.01 is 0.00499983...: just under half a cent, which a quotient of six places would take for one."""
+    rows = [(1, "1.00", "1.50", "300.01"), (2, "1.00", "150.01", "300.01"), (3, "0.00", "5.00", "9.00"), (4, "900.00", "1800.00", "2000.00"), (5, "12345678901.23", "9876543210.98", "98765432109.87")]
+    df = spark.createDataFrame(rows, "invoice_id long, tax_base string, total_bgn string, total string").select("invoice_id", *(F.col(c).cast("decimal(18,2)").alias(c) for c in ("tax_base", "total_bgn", "total")))
+    df = df.withColumns({"vat": F.col("tax_base"), "currency": F.lit("USD"), "is_credit_note": F.lit(False), "keep_bgn_total": F.lit(True)})
+    got = {r["invoice_id"]: r["b"] for r in vat._amounts(df).collect()}
+    half_up = lambda r: ((Decimal(r[1]) * Decimal(r[2]) * 200 + Decimal(r[3])) // (Decimal(r[3]) * 2)) / 100
+    assert got == {r[0]: half_up(r) for r in rows} and all(isinstance(v, Decimal) for v in got.values())
+    zero = df.where("invoice_id = 2").withColumn("total", F.lit(0).cast("decimal(18,2)"))
+    assert vat._amounts(zero).first()["b"] == Decimal("1.00")
