@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import sinks
 
 
 # B30
@@ -25,28 +26,33 @@ def name_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
+def _spelt(names: DataFrame, as_: str) -> DataFrame:
+    """Distinct names with what is compared of them, prefixed by ``as_``: normalized, in Latin and in Cyrillic letters, distinctive words in order and by sound, and the
+    text of a ratio with and without words. Each name is spelt once, however many it is compared with."""
+    bg = S.translit_en_bg
+    d = names.select(F.col(as_).alias("__n")).distinct().withColumn("norm", S.normalize_company(F.col("__n")))
+    d = d.withColumns({"en": S.translit_bg_en(F.col("norm")), "bg": bg(F.col("norm")), "words": F.array_sort(S.distinctive_tokens(F.col("norm")))})
+    d = d.withColumns({"heard": F.array_distinct(F.transform("words", bg)), "said": F.array_join("words", " ")}).withColumn("said_bg", bg(F.col("said")))
+    return d.select(F.col("__n").alias(as_), F.struct("norm", "en", "bg", "words", "heard", "said", "said_bg").alias("n" if as_ == "name" else "c"))
+
+
 def name_similarity(pairs: DataFrame, name: str = "name", candidate: str = "candidate") -> DataFrame:
     """Distinct (name, candidate) with score and exact: 1 for equal normalized names, also transliterated either way; else 0.75 and a quarter of the share of
     the name's distinctive words that the candidate holds, as they stand or in Cyrillic; else the ratio of these words in order, the better
     of both alphabets; without such words on one side, of the whole names. Null and blank candidates are left out."""
     p = pairs.select(F.col(name).alias("name"), F.col(candidate).alias("candidate")).where("trim(candidate) <> '' AND trim(name) <> ''").distinct()
-    p = p.withColumns({"n": S.normalize_company(F.col("name")), "c": S.normalize_company(F.col("candidate"))})
-    p = p.withColumns({"ns": F.array_sort(S.distinctive_tokens(F.col("n"))), "cs": F.array_sort(S.distinctive_tokens(F.col("c")))})
-    bg = S.translit_en_bg
-    same = lambda f: (f(F.col("n")) != "") & (f(F.col("n")) == f(F.col("c")))
-    exact = same(lambda x: x) | same(S.translit_bg_en) | same(bg)
-    sides = lambda f: (F.array_distinct(F.transform("ns", f)), F.array_distinct(F.transform("cs", f)))
-    share = lambda a, b: F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1))
-    plain, heard = share(*sides(lambda w: w)), share(*sides(bg))
-    told = (F.size("ns") > 0) & (F.size("cs") > 0)
-    by_word = F.when(told & (plain > 0), 0.75 + 0.25 * plain).when(told & (heard > 0), 0.75 + 0.25 * heard)
-    p = p.withColumns({"exact": exact, "score": F.when(exact, 1.0).otherwise(by_word), "told": told})
-    rest = p.where("score IS NULL")
-    text = lambda words, whole: F.when(F.col("told"), F.array_join(words, " ")).otherwise(F.col(whole))
-    rest = rest.withColumns({"x": text("ns", "n"), "y": text("cs", "c")})
-    rest = rest.withColumns({"r1": name_ratio(F.col("x"), F.col("y")), "r2": name_ratio(bg(F.col("x")), bg(F.col("y")))}).withColumn("score", F.greatest("r1", "r2"))
-    cols = ["name", "candidate", "exact", "score"]
-    return p.where("score IS NOT NULL").select(*cols).unionByName(rest.select(*cols))
+    p = sinks.stored(p, "name-pairs")
+    p = p.join(_spelt(p, "name"), "name").join(_spelt(p, "candidate"), "candidate")
+    n, c = F.col("n"), F.col("c")
+    same = lambda k: (n[k] != "") & (n[k] == c[k])
+    share = lambda k: F.size(F.array_intersect(n[k], c[k])) / F.greatest(F.size(n[k]), F.lit(1))
+    p = p.withColumns({"exact": same("norm") | same("en") | same("bg"), "plain": share("words"), "heard": share("heard"), "told": (F.size(n["words"]) > 0) & (F.size(c["words"]) > 0)})
+    by_word = F.when(F.col("told") & (F.col("plain") > 0), 0.75 + 0.25 * F.col("plain")).when(F.col("told") & (F.col("heard") > 0), 0.75 + 0.25 * F.col("heard"))
+    p = p.withColumn("score", F.when(F.col("exact"), 1.0).otherwise(by_word))
+    text = lambda x, words, whole: F.when(F.col("score").isNull(), F.when(F.col("told"), x[words]).otherwise(x[whole]))
+    p = p.select("name", "candidate", "exact", "score", *(text(x, *k).alias(a) for a, x, k in (("x1", n, ("said", "norm")), ("y1", c, ("said", "norm")), ("x2", n, ("said_bg", "bg")), ("y2", c, ("said_bg", "bg")))))
+    ratio = F.greatest(name_ratio(F.col("x1"), F.col("y1")), name_ratio(F.col("x2"), F.col("y2")))
+    return p.select("name", "candidate", "exact", F.coalesce("score", ratio).alias("score"))
 
 
 # D04
@@ -59,7 +65,7 @@ def verify_parties(parties: DataFrame, partners: DataFrame) -> DataFrame:
     parties: invoice_id, role, eik, name; partners: eik (unique), legal_name, transliteration, trade_name, aliases.
     """
     bare = F.regexp_replace(F.coalesce("eik", F.lit("")), "[^0-9A-Za-z]", "")
-    own = parties.select("invoice_id", "role", F.when(F.upper(bare).startswith("BG"), F.substring(bare, 3, 99)).otherwise(bare).alias("eik"), "name")
+    own = sinks.stored(parties, "parties").select("invoice_id", "role", F.when(F.upper(bare).startswith("BG"), F.substring(bare, 3, 99)).otherwise(bare).alias("eik"), "name")
     known = partners.where("trim(legal_name) <> ''").select("eik", F.col("legal_name").alias("canonical_name"), F.concat(F.array("legal_name", "transliteration", "trade_name"), F.coalesce("aliases", F.array())).alias("names"))
     both = own.join(known, "eik", "left")
     asked = both.where("canonical_name IS NOT NULL AND trim(name) <> ''").select("name", "eik", "names").distinct()
@@ -96,15 +102,19 @@ def party_swap(parties: DataFrame, partners: DataFrame, alike: float = 0.7, unli
 
     Only where both parties have different EIKs of known partners and alike names: a name that is like the other's legal name, and unlike its own.
     parties: invoice_id, role, eik, name (a row for each role); partners: eik (unique), legal_name."""
-    wide = parties.groupBy("invoice_id").agg(*(F.max(F.when(F.col("role") == r, F.col(c))).alias(f"{r}_{c}") for r in ("supplier", "recipient") for c in ("eik", "name")))
+    wide = sinks.stored(parties, "parties").groupBy("invoice_id").agg(*(F.max(F.when(F.col("role") == r, F.col(c))).alias(f"{r}_{c}") for r in ("supplier", "recipient") for c in ("eik", "name")))
     for r in ("supplier", "recipient"):
         wide = wide.join(partners.select(F.col("eik").alias(f"{r}_eik"), F.col("legal_name").alias(f"{r}_legal")), f"{r}_eik", "left")
-    pairs = {"met": ("supplier_name", "recipient_name"), "s_other": ("supplier_name", "recipient_legal"), "s_own": ("supplier_name", "supplier_legal"), "r_other": ("recipient_name", "supplier_legal"), "r_own": ("recipient_name", "recipient_legal")}
     open_ = wide.where("supplier_eik <> recipient_eik AND supplier_legal IS NOT NULL AND recipient_legal IS NOT NULL AND trim(supplier_name) <> '' AND trim(recipient_name) <> ''")
-    asked = open_.select("invoice_id", F.inline(F.array(*(F.struct(F.lit(k).alias("k"), F.col(a).alias("name"), F.col(b).alias("candidate")) for k, (a, b) in pairs.items()))))
-    scored = asked.join(name_similarity(asked), ["name", "candidate"], "left").groupBy("invoice_id").agg(*(F.max(F.when(F.col("k") == k, F.round("score", 4))).alias(k) for k in pairs))
-    out = wide.join(scored, "invoice_id", "left")
-    turn = {r: F.coalesce((F.col("met") >= alike) & (F.col(f"{r[0]}_other") >= alike) & (F.col(f"{r[0]}_own") < unlike), F.lit(False)) for r in ("supplier", "recipient")}
+    side = lambda r, o: F.struct(F.lit(r).alias("role"), F.col(f"{r}_name").alias("name"), F.col(f"{r}_legal").alias("candidate"), F.col(f"{o}_legal").alias("other"), F.col("supplier_name").alias("a"), F.col("recipient_name").alias("b"))
+    own = open_.select("invoice_id", F.inline(F.array(side("supplier", "recipient"), side("recipient", "supplier"))))
+    # a name is turned only if it is unlike its own, so only then are the others compared
+    stray = own.join(name_similarity(own), ["name", "candidate"]).where(F.round("score", 4) < unlike)
+    asked = stray.select("invoice_id", "role", F.inline(F.array(*(F.struct(F.lit(k).alias("k"), F.col(x).alias("name"), F.col(y).alias("candidate")) for k, x, y in (("met", "a", "b"), ("other", "name", "other"))))))
+    scored = asked.join(name_similarity(asked), ["name", "candidate"]).where(F.round("score", 4) >= alike)
+    turned = scored.groupBy("invoice_id", "role").agg(F.count_distinct("k").alias("n")).where("n = 2").groupBy("invoice_id").agg(F.collect_set("role").alias("roles"))
+    out = wide.join(turned, "invoice_id", "left")
+    turn = {r: F.coalesce(F.array_contains("roles", r), F.lit(False)) for r in ("supplier", "recipient")}
     fixed = F.concat_ws(",", *(F.when(turn[r], r) for r in turn))
     return out.select("invoice_id", *(F.when(turn[r], F.col(f"{r}_legal")).otherwise(F.col(f"{r}_name")).alias(f"{r}_name") for r in turn), fixed.alias("fixed"))
 

@@ -116,3 +116,17 @@ def test_names_of_the_rules(spark):
     out = {r["name"]: r["match_status"] for r in N.verify_parties(spark.createDataFrame(rows, "invoice_id string, role string, eik string, name string"), master).collect()}
     assert out["Джентълмен Груп ООД"] == "EXACT" and {out["Gentleman Group"], out["Дженталмен Груп"]} <= {"EXACT", "SIMILAR"}
     assert out["ТОПЛИВО АД"] == out["Шел България ЕАД"] == "DIVERGENT"
+
+
+def test_names_are_spelt_once_and_only_stray_ones_are_compared(spark, monkeypatch):
+    """Each text's patterns stand once in the plan for names and once for candidates, not once more for each use; a name like its own is compared with no other."""
+    pairs = spark.createDataFrame([("Алфа", "АЛФА ООД"), ("Gamma", "АЛФА ООД")], "name string, candidate string")
+    plan = N.name_similarity(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("regexp_replace(") <= 4 * (len(S.LEGAL_FORMS) + 2)
+    asked, whole = [], N.name_similarity
+    monkeypatch.setattr(N, "name_similarity", lambda df: (asked.append({(r["name"], r["candidate"]) for r in df.collect()}), whole(df))[1])
+    some = spark.createDataFrame([(1, "supplier", "1", "Алфа"), (1, "recipient", "2", "Бета Строй"), (2, "supplier", "1", "Бета Строй ЕООД"), (2, "recipient", "2", "Бета Строй")], "invoice_id long, role string, eik string, name string")
+    known = spark.createDataFrame([("1", "АЛФА ООД"), ("2", "БЕТА СТРОЙ ЕООД")], "eik string, legal_name string")
+    got = sorted(map(tuple, N.party_swap(some, known).collect()))
+    assert got == [(1, "Алфа", "Бета Строй", ""), (2, "АЛФА ООД", "Бета Строй", "supplier")]
+    assert asked[-1] == {("Бета Строй ЕООД", "Бета Строй"), ("Бета Строй ЕООД", "БЕТА СТРОЙ ЕООД")}
