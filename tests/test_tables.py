@@ -173,3 +173,12 @@ def test_payment(spark):
     assert got[1] == (good, True, "BNBG", "BNBGBGSD", "Българска народна банка", "банков превод")
     assert got[2] == ("BG80BNBG96611020345679", False, "BNBG", "BNBGBGSF", "Българска народна банка", "в брой")
     assert got[3][:2] == (good, True) and got[4] == (None, False, None, None, None, None) and got[5][:2] == (good, True)
+
+
+def test_cells_of_a_line_are_worked_out_once(spark):
+    """The tokens of a line go through the fold of double readings once, not once more for each use of its result."""
+    columns = "array<struct<semantic_type:string,x_left:int,x_right:int,x_center:int>>"
+    df = spark.createDataFrame([([(10, 0, "a", 20), (12, 1, "a", 20), (300, 2, "5", 20)], [("description", 0, 200, 20), ("quantity", 200, 500, 310)])], f"tokens array<struct<left:int,i:int,text:string,width:int>>, columns {columns}")
+    out = df.select(T.cells(F.col("tokens"), F.col("columns")).alias("cell"))
+    assert out.first()["cell"] == {"description": "a", "quantity": "5"}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
