@@ -63,3 +63,10 @@ def test_amounts_that_follow_a_total_in_leva_are_rounded_once(spark):
     assert got == {r[0]: half_up(r) for r in rows} and all(isinstance(v, Decimal) for v in got.values())
     zero = df.where("invoice_id = 2").withColumn("total", F.lit(0).cast("decimal(18,2)"))
     assert vat._amounts(zero).first()["b"] == Decimal("1.00")
+
+
+def test_passes_meet_in_the_grid_once(spark):
+    df = spark.createDataFrame([(1, 1, 1, "12", 0, 0, 20, 10, 50, 50)], "doc_id long, page int, i long, text string, left int, top int, width int, height int, conf int, quality int")
+    out = layout.fuse_token_passes(df, df)
+    assert [(r["pass"], r["i"]) for r in out.collect()] == [(1, 1)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(sequence") == 2
